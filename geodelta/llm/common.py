@@ -32,6 +32,14 @@ def write_scratch(df: DataFrame, tag: str) -> str:
     return path
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the written tables that df reads; only for scratch tables that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back. Survives lost executors."""
     schema = df.schema
@@ -51,6 +59,25 @@ def small_or_shuffled(big: DataFrame, small: DataFrame, key: str, how: str, row_
     return big.join(small, key, how)
 
 
+#: Hash buckets of ``split_by_keys``: the broadcast of all of them takes about 32 MB, whatever the keys' number.
+KEY_BUCKETS = 1 << 21
+
+
+def split_by_keys(big: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Split big into rows whose key may be among keys, and rows whose key surely is not, without a shuffle of big.
+
+    The hash buckets of the keys are broadcast; there are at most KEY_BUCKETS. With very many keys, all rows may go to the
+    first part; results do not depend on it.
+    """
+    bucket = lambda: F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BUCKETS)).cast("int")
+    marked = F.broadcast(keys.select(bucket().alias("_key_bucket")).distinct())
+    with_bucket = big.withColumn("_key_bucket", bucket())
+    return (
+        with_bucket.join(marked, "_key_bucket", "left_semi").drop("_key_bucket"),
+        with_bucket.join(marked, "_key_bucket", "left_anti").drop("_key_bucket"),
+    )
+
+
 def heavy_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
     """Inner join of rows with one written row per key, where a key may hold a large part of all rows.
 

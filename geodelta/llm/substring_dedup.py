@@ -8,12 +8,12 @@ Level 9. Each window stands for its anchor, the run of 9 words with the least co
 have equal anchors at equal distance, so a window whose anchor occurs once in the corpus cannot repeat. Neighbouring windows share anchors, so about one position in
 14 is shuffled, not every one.
 Level 18. Only windows with a repeated anchor go on. They choose an anchor again, now of 18 words.
-Level 35. Only windows with a repeated 18-word anchor go on; they are compared whole, by the codes of anchor and window
-together.
+Level 35. Only windows with a repeated 18-word anchor go on, as segments: the windows of an anchor that follow one another. A segment
+that occurs twice is settled at once; the others are compared window by window, by the codes of anchor and window together.
 
 Counts are added up before each shuffle; a code with a large share of all rows is joined back map-side (``heavy_join``).
-No list of a code's places is ever collected. Texts are read again, with the survivors' places broadcast
-when their counted bytes fit, or else joined by a shuffle.
+No list of a code's places is ever collected. Texts are read again; only those of documents with survivors are shuffled
+to meet their places (``split_by_keys``).
 
 Defined cases: null or empty text has no words; texts shorter than a window keep all; repeated rows, ids included, repeat
 each other's windows; a row without an id is known by its text's hash; a not null id belongs to one text; an
@@ -31,19 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BROADCAST_BYTES, cut, heavy_join, text_slices
+from .common import cut, heavy_join, remove, split_by_keys, text_slices
 
 WINDOW = 35
 LEVELS = (9, 18)
 
 
-def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """docs with the written table (row_key, places); broadcast if its counted bytes fit."""
-    size = places.agg(F.count(F.lit(1)) * 64 + F.sum(F.size("places")) * 8).first()[0] or 0
-    side = F.broadcast(places) if size <= BROADCAST_BYTES else places.hint("merge")
-    return docs.join(side, "row_key", how)
-
-
 def _anchors(batch: pa.RecordBatch, level: int, window: int):
     """Of a batch: word codes' offsets, starts of windows, each window's anchor place, and runs' codes of the level."""
     flat, offsets = W.split(batch.column("text"))
@@ -92,19 +85,15 @@ def _second_level(window: int, low: int, high: int):
             doc = np.searchsorted(offsets, at[first], "right") - 1
             keys = batch.column("row_key").to_numpy(zero_copy_only=False)
             ends = np.append(first, len(at)).astype(np.int32)
-            # the first of an anchor's rows stands for the anchor when occurrences are counted
-            lead = np.ones(len(first), np.int32)
-            lead[1:] = (np.diff(upper[first]) != 0) | (np.diff(doc) != 0)
             windows = pa.ListArray.from_arrays(pa.array(ends), pa.array(whole[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(runs[upper[first]].view(np.int64)),
                     pa.array(keys[doc]),
                     pa.array((at[first] - offsets[doc]).astype(np.int32)),
-                    pa.array(lead),
                     windows,
                 ],
-                ["code", "row_key", "at", "lead", "windows"],
+                ["code", "row_key", "at", "windows"],
             )
 
     return run
@@ -118,8 +107,9 @@ def _last_level(window: int, kept_text: bool):
             sizes = np.diff(lists.offsets.to_numpy())
             places = lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(offsets[:-1], sizes)
             edge = np.zeros(len(flat) + 1, np.int32)
-            np.add.at(edge, places, 1)
-            np.add.at(edge, places + window, -1)
+            last = places + batch.column("sizes").flatten().to_numpy(zero_copy_only=False) + (window - 1)
+            edge += np.bincount(places, minlength=len(edge)).astype(np.int32)
+            edge -= np.bincount(last, minlength=len(edge)).astype(np.int32)
             gone = np.cumsum(edge[:-1]) > 0
             removed = np.concatenate([[0], np.cumsum(gone)])
             kept = flat.filter(pa.array(~gone)).to_pylist()
@@ -141,40 +131,63 @@ def _last_level(window: int, kept_text: bool):
 
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, levels: tuple[int, int] = LEVELS) -> DataFrame:
-    """(row_key, places): the starts of all windows of the text whose word sequence also starts elsewhere; a written table."""
+    """(row_key, places, sizes): runs of starts (first, how many) of windows whose word sequence also starts elsewhere; written."""
     low, high = levels
     spark = keyed.sparkSession
     text = keyed.select("row_key", "text")
-    none = spark.createDataFrame([], "row_key long, places array<int>")
+    none = spark.createDataFrame([], "row_key long, places array<int>, sizes array<int>")
 
     anchors = cut(text.mapInArrow(_first_level(window, low), "code long, row_key long, at int"), "anchors")
     total = anchors.count()
     groups = cut(anchors.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
     alive = heavy_join(anchors, groups, ["code"], total)
     places = cut(alive.groupBy("row_key").agg(F.collect_list("at").alias("places")), "alive")
+    remove(anchors)
+    remove(groups)
     if places.limit(1).count() == 0:
         return none
 
-    schema = "code long, row_key long, at int, lead int, windows array<long>"
-    longer = cut(_with_places(text, places, "inner").select("row_key", "text", "places").mapInArrow(_second_level(window, low, high), schema), "longer")
+    candidates, _ = split_by_keys(text, places, "row_key")
+    schema = "code long, row_key long, at int, windows array<long>"
+    longer = cut(
+        candidates.join(places.hint("merge"), "row_key")
+        .select("row_key", "text", "places")
+        .mapInArrow(_second_level(window, low, high), schema)
+        .withColumn("segment", F.xxhash64("windows"))
+        .withColumn("size", F.size("windows")),
+        "longer",
+    )
     total = longer.count()
-    groups = cut(
-        longer.groupBy("code")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("lead").alias("occurrences"))
-        .filter("occurrences > 1")
-        .select("code", "n"),
-        "repeated",
+    # a whole segment (the windows of an anchor that follow one another) that occurs twice is settled as it is
+    segments = cut(longer.groupBy("code", "segment").agg(F.count(F.lit(1)).alias("n")), "segments")
+    twice = heavy_join(longer.select("code", "segment", "row_key", "at", "size"), segments.filter("n > 1"), ["code", "segment"], total)
+    # a segment that occurs once is compared window by window with the anchor's other segments, each of them taken once
+    several = cut(
+        segments.groupBy("code").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("code"),
+        "several",
     )
-    whole = cut(
-        heavy_join(longer, groups, ["code"], total).select("code", "row_key", "at", F.posexplode("windows").alias("k", "whole")).select(
-            "code", "whole", "row_key", (F.col("at") + F.col("k")).alias("at")
-        ),
+    taken, _ = split_by_keys(longer, several, "code")
+    once = cut(
+        taken.groupBy("code", "segment")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("row_key").alias("row_key"),
+            F.min("at").alias("at"),
+            F.min("windows").alias("windows"),
+        )
+        .select("code", "n", "row_key", "at", F.posexplode("windows").alias("k", "whole")),
         "windows",
     )
-    total = whole.count()
-    groups = cut(whole.groupBy("code", "whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
-    found = heavy_join(whole, groups, ["code", "whole"], total)
-    return cut(found.groupBy("row_key").agg(F.collect_list("at").alias("places")), "places")
+    total = once.count()
+    shared = cut(once.groupBy("code", "whole").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared")
+    single = heavy_join(once.filter("n = 1"), shared, ["code", "whole"], total, "m")
+    found = twice.select("row_key", "at", "size").unionByName(
+        single.select("row_key", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("size"))
+    )
+    out = cut(found.groupBy("row_key").agg(F.collect_list("at").alias("places"), F.collect_list("size").alias("sizes")), "places")
+    for table in (places, longer, segments, several, once, shared):
+        remove(table)
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: tuple[int, int] = LEVELS, kept_text: bool = False) -> DataFrame:
@@ -182,8 +195,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: tuple[int, in
     text_col = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64(text_col)).alias("row_key"), text_col.alias("text"))
     places = repeated_windows(keyed, window, levels)
-    both = _with_places(keyed, places, "left").select(
-        "doc_id", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places")
+    with_some, with_none = split_by_keys(keyed, places, "row_key")
+    empty = F.array().cast("array<int>")
+    some = with_some.join(places.hint("merge"), "row_key", "left").select(
+        "doc_id", "text", F.coalesce("places", empty).alias("places"), F.coalesce("sizes", empty).alias("sizes")
     )
+    none = with_none.select("doc_id", "text", empty.alias("places"), empty.alias("sizes"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * kept_text
-    return both.mapInArrow(_last_level(window, kept_text), schema)
+    run = _last_level(window, kept_text)
+    return some.mapInArrow(run, schema).unionByName(none.mapInArrow(run, schema))
