@@ -29,7 +29,7 @@ from .common import blank, cut, text_slices
 CAPACITY = 1024
 END_ID = 2
 #: Pieces in a hash block at most, about.
-BLOCK = 100_000
+BLOCK = 20_000
 
 _encoders: dict[tuple[str, str], object] = {}
 
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode_ordinary
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 2 << 20):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.array([*encode(text), END_ID], "<u4")
