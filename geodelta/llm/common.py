@@ -93,7 +93,7 @@ def heavy_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(light, keys))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most`` bytes of text (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -114,5 +114,12 @@ def blank(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to and from Python hold about 8 MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -12,8 +12,8 @@ fixed order gives the same links, this one keeps boilerplate out of the lists.
 The boundary x is chosen by cost: subsets enumerated against shingles posted and verified, over the counted sizes.
 
 An inverted list is not turned into all its pairs: each set first meets one list leader and is verified against it
-exactly; after that only lists that still hold several components go on, with new leaders while their pairs would be many, and the
-few pairs left are all verified. So no link between components is lost.
+exactly; after that only lists that still hold several components go on, with new leaders while their pairs would be many; of
+the pairs left, all whose number of shared postings allows a link are verified. So no link between components is lost.
 
 Defined cases: null, empty or blank text has an empty set, linked with nothing, and is its own component; texts of fewer
 words than a shingle are one shingle; repeated rows are one class; rows without doc_id take no part (component null); a
@@ -79,13 +79,15 @@ def _census(shingle: int):
         counts = np.zeros(1 << COUNTER_BITS, np.uint32)
         names = ["doc_id", "n", "print_a", "print_b", "chunk", "counts"]
         for batch in text_slices(batches, "text"):
-            size, a, b = [], [], []
+            size, a, b, all_codes = [], [], [], []
             for codes in shingle_sets(batch.column("text"), shingle):
                 size.append(len(codes))
                 a.append(W.mix(codes).sum(dtype=np.uint64))
                 b.append(W.mix(codes ^ _SALT).sum(dtype=np.uint64))
-                np.add.at(counts, codes >> np.uint64(64 - COUNTER_BITS), 1)
+                all_codes.append(codes >> np.uint64(64 - COUNTER_BITS))
             rows = len(size)
+            seen, times = np.unique(np.concatenate(all_codes).astype(np.int32), return_counts=True)
+            counts[seen] += times.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -164,34 +166,58 @@ def boundary(sizes: dict[int, int], percent: int, shared: int = SHARED) -> int:
     return best
 
 
-def _light(shingle: int, percent: int, x: int):
+def _entries(shingle: int, percent: int, x: int, common: np.ndarray):
+    """Light rows (sizes low and high, subset as code, node, n) and postings (low null; code, node, n)."""
+    least = least_share(x + 1, percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 2 << 20):
-            low, high, subset, node, size = [], [], [], [], []
+        flags = np.unpackbits(common).astype(bool)
+        shift = np.uint64(64 - COUNTER_BITS)
+        names = ["low", "high", "code", "node", "n"]
+        for batch in text_slices(batches, "text"):
+            light, parts, sizes, docs = [], [], [], []
             for doc, codes in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), shingle)):
                 n = len(codes)
-                if not 0 < n <= x:
-                    continue
-                mixed = [int(v) for v in W.mix(codes)]
-                for m in partner_sizes(n, x, percent):
-                    for chosen in combinations(mixed, needed(n, m, percent)):
-                        low.append(min(n, m))
-                        high.append(max(n, m))
-                        subset.append((sum(chosen) & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-                        node.append(doc)
-                        size.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(subset, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32())],
-                ["low", "high", "subset", "node", "size"],
-            )
+                if 0 < n <= x:
+                    mixed = [int(v) for v in W.mix(codes)]
+                    for m in partner_sizes(n, x, percent):
+                        for chosen in combinations(mixed, needed(n, m, percent)):
+                            subset = (sum(chosen) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                            light.append((min(n, m), max(n, m), subset, doc, n))
+                if n >= least:
+                    hot = flags[codes >> shift]
+                    parts.append(np.concatenate([codes[~hot], codes[hot]])[: min(n, n - least_share(n, percent) + SHARED)])
+                    sizes.append(n)
+                    docs.append(doc)
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            if light:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*light), kinds)], names)
+            if parts:
+                lengths = [len(p) for p in parts]
+                codes = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.nulls(len(codes), pa.int32()),
+                        pa.nulls(len(codes), pa.int32()),
+                        pa.array(codes.view(np.int64)),
+                        pa.array(np.repeat(np.array(docs, np.int64), lengths)),
+                        pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                    ],
+                    names,
+                )
 
     return run
 
 
-def light_links(docs: DataFrame, shingle: int, percent: int, x: int) -> DataFrame:
+def entries(docs: DataFrame, shingle: int, percent: int, x: int, common: np.ndarray) -> DataFrame:
+    schema = "low int, high int, code long, node long, n int"
+    return cut(docs.mapInArrow(_entries(shingle, percent, x, common), schema), "entries")
+
+
+def light_links(entries: DataFrame) -> DataFrame:
     """Links (a, b) that connect all linked light sets."""
-    rows = cut(docs.mapInArrow(_light(shingle, percent, x), "low int, high int, subset long, node long, size int"), "light")
-    keys = ["low", "high", "subset"]
+    rows = entries.filter("low is not null").select("low", "high", "code", "node", F.col("n").alias("size"))
+    keys = ["low", "high", "code"]
     lists = cut(
         rows.groupBy(*keys)
         .agg(
@@ -207,37 +233,6 @@ def light_links(docs: DataFrame, shingle: int, percent: int, x: int) -> DataFram
     return met.select(F.col("node").alias("a"), other.alias("b")).filter("a != b").distinct()
 
 
-def _postings(shingle: int, percent: int, least: int, common: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(common).astype(bool)
-        shift = np.uint64(64 - COUNTER_BITS)
-        for batch in text_slices(batches, "text"):
-            parts, sizes, docs = [], [], []
-            for doc, codes in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), shingle)):
-                n = len(codes)
-                if n < least:
-                    continue
-                hot = flags[codes >> shift]
-                ordered = np.concatenate([codes[~hot], codes[hot]])[: min(n, n - least_share(n, percent) + SHARED)]
-                parts.append(ordered)
-                sizes.append(n)
-                docs.append(doc)
-            lengths = [len(p) for p in parts]
-            codes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            at = np.concatenate([np.arange(k) for k in lengths]) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(codes.view(np.int64)),
-                    pa.array(np.repeat(np.array(docs, np.int64), lengths)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
-                    pa.array(at.astype(np.int32)),
-                ],
-                ["code", "node", "n", "at"],
-            )
-
-    return run
-
-
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -266,16 +261,21 @@ def _linked(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; a written table."""
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The written pairs (a, b) whose whole sets link; a written table. Only the pairs' texts are read into sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    members, _ = split_by_keys(docs, nodes, "doc_id")
+    sets = cut(members.mapInArrow(_sets(shingle), "node long, codes array<long>"), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b")
-    return cut(both.select("a", "b", "left", "right").mapInArrow(_linked(percent), "a long, b long"), "links")
+    out = cut(both.select("a", "b", "left", "right").mapInArrow(_linked(percent), "a long, b long"), "links")
+    remove(sets)
+    return out
 
 
-def heavy_links(docs: DataFrame, shingle: int, percent: int, least: int, common: np.ndarray, links: DataFrame) -> DataFrame:
+def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int, links: DataFrame) -> DataFrame:
     """Links that connect all linked sets of which one at least is heavy, added to those given; a written table."""
-    postings = cut(docs.mapInArrow(_postings(shingle, percent, least, common), "code long, node long, n int, at int"), "postings")
+    postings = entries.filter("low is null").select("code", "node", "n")
     total = postings.count()
     lists = cut(
         postings.groupBy("code")
@@ -285,23 +285,28 @@ def heavy_links(docs: DataFrame, shingle: int, percent: int, least: int, common:
         "lists",
     )
     alive = cut(heavy_join(postings, lists, ["code"], total, "k"), "alive")
-    remove(postings)
+    remove(entries)
     remove(lists)
     near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+    def enough(shared, n, m):
+        """Can sets of n and m that share so many postings link? What they share elsewhere lies outside the postings of one."""
+        posted = lambda k: F.least(k, k - F.ceil(k * percent / 100) + SHARED)
+        return (shared + F.greatest(n - posted(n), m - posted(m))) * (100 + percent) >= (n + m) * percent
+
     # each set meets the leader it shares most lists with
     met = (
         alive.filter("node != leader")
         .filter(near(F.col("n"), F.col("leader_n")))
-        .groupBy("node", "leader")
-        .count()
+        .groupBy("node", "leader", "n", "leader_n")
+        .agg(F.count(F.lit(1)).alias("votes"))
+        .filter(enough(F.col("votes"), F.col("n"), F.col("leader_n")))
         .groupBy("node")
-        .agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
+        .agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
     )
     pairs = cut(met.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pairs")
-    members, _ = split_by_keys(docs, alive.select("node").distinct().withColumnRenamed("node", "doc_id"), "doc_id")
-    sets = cut(members.mapInArrow(_sets(shingle), "node long, codes array<long>"), "sets")
-    links = cut(links.unionByName(verified(pairs, sets, percent)), "links")
-    postings = alive.select("code", "node", "n", "at")
+    links = cut(links.unionByName(verified(pairs, docs, shingle, percent)), "links")
+    postings = alive.select("code", "node", "n")
     for turn in range(ROUNDS + 1):
         labels = components(links)
         placed = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -312,7 +317,7 @@ def heavy_links(docs: DataFrame, shingle: int, percent: int, least: int, common:
                 F.count(F.lit(1)).alias("k"),
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.struct("node", "n", "component", "at").alias("of"))).alias("first"),
+                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.struct("node", "n", "component").alias("of"))).alias("first"),
             )
             .filter("low != high")
             .select("code", "k", F.col("first.of").alias("first")),
@@ -323,29 +328,29 @@ def heavy_links(docs: DataFrame, shingle: int, percent: int, least: int, common:
             break
         last = size["pairs"] <= 8 * total or turn == ROUNDS
         rows = heavy_join(placed, open_lists, ["code"], total, "k")
-        # linked sets share SHARED postings, so the last shared ones but so many are early enough
-        left = lambda n, at: F.col(n) - F.col(at) - 1
         if last:
-            one = cut(rows.select("code", "node", "n", "at", "component"), "rows")
-            two = one.select("code", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "component")])
+            one = cut(rows.select("code", "node", "n", "component"), "rows")
+            two = one.select("code", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
             chosen = (
                 one.join(two, "code")
                 .filter("node < node_b and component != component_b")
                 .filter(near(F.col("n"), F.col("n_b")))
-                .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("shared"), F.max(F.least(left("n", "at"), left("n_b", "at_b"))).alias("room"), F.first("n").alias("n"), F.first("n_b").alias("m"))
-                .filter(F.col("shared") >= SHARED)
-                .filter((F.col("room") + 1) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+                .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b")
+                .agg(F.count(F.lit(1)).alias("shared"))
+                .filter(enough(F.col("shared"), F.col("n"), F.col("n_b")))
                 .select("a", "b")
             )
         else:
             chosen = (
                 rows.filter("component != first.component")
                 .filter(near(F.col("n"), F.col("first.n")))
-                .select(F.col("node").alias("a"), F.col("first.node").alias("b"))
-                .distinct()
+                .withColumn("first_n", F.col("first.n"))
+                .groupBy(F.col("node").alias("a"), F.col("first.node").alias("b"), "n", "first_n")
+                .agg(F.count(F.lit(1)).alias("votes"))
+                .filter(enough(F.col("votes"), F.col("n"), F.col("first_n")))
+                .select("a", "b")
             )
-        new = verified(cut(chosen, "pairs"), sets, percent)
+        new = verified(cut(chosen, "pairs"), docs, shingle, percent)
         links = cut(links.unionByName(new), "links")
         remove(placed)
         remove(open_lists)
@@ -373,10 +378,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     small = classes.filter(F.col("n") <= 2 * LIGHT_MOST).groupBy("n").count().collect()  # at most 48 rows
     x = boundary({int(r["n"]): int(r["count"]) for r in small}, percent)
-    links = light_links(first, shingle, percent, x)
     mean = int(sums["shingles"] or 0) >> COUNTER_BITS
     common = _common(counts, 2 * mean + max(32, sums["docs"] // 1000))
-    links = heavy_links(first, shingle, percent, least_share(x + 1, percent), common, links)
+    both = entries(first, shingle, percent, x, common)
+    links = heavy_links(first, both, shingle, percent, cut(light_links(both), "links"))
     found = components(links).withColumnRenamed("node", "class_id")
     rest = sized.filter("n = 0 or doc_id is null").select(
         "doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component")

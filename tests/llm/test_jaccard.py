@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from geodelta.llm import jaccard_join
 from geodelta.llm.components import components
@@ -68,7 +69,7 @@ def test_light_alone_finds_all(spark):
             ws[rng.choice([0, -1])] = rng.choice(WORDS)
             rows.append((len(rows), " ".join(ws[: rng.randint(len(ws) - 1, len(ws))])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    links = jaccard_join.light_links(docs, 4, 85, 12)
+    links = jaccard_join.light_links(jaccard_join.entries(docs, 4, 85, 12, np.zeros(1 << 17, np.uint8)))
     got = {r["node"]: r["component"] for r in components(links).collect()}
     want = {i: c for i, _, c in brute(rows)}
     sets = {i: frozenset(zip(*[t.split()[k:] for k in range(4)])) for i, t in rows}

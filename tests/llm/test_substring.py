@@ -32,6 +32,9 @@ def test_words():
     flat, offsets = W.split(pa.array([" a\tb\x0b\x0c c ", None, "", "\x1c d e", "x"]))
     assert flat.to_pylist() == ["a", "b", "c", "\x1c", "d e", "x"] and offsets.tolist() == [0, 3, 3, 3, 5, 6]
     codes = W.codes(flat)
+    many = [f"w{'x' * (i % 30)}{i}" for i in range(5000)] + ["y" * k for k in range(1, 700)]
+    coded = W.codes(pa.array(["skip", *many])[1:])
+    assert len(set(coded.tolist())) == len(many) and (W.codes(pa.array(many[::-1])) == coded[::-1]).all()
     assert W.run_codes(codes, 3)[0] == W.run_codes(np.concatenate([codes[:3], codes[:3]]), 3)[3]
     assert W.sliding_least(np.array([5, 1, 4, 1, 9, 2]), 3).tolist() == [1, 1, 3, 3]
     assert W.starts(np.array([0, 3, 3, 8]), 3).tolist() == [0, 3, 4, 5]
