@@ -42,6 +42,8 @@ SHARED = 3
 LIGHT_MOST = 24
 #: log2 of the counters, and counters in a chunk.
 COUNTER_BITS, CHUNK = 20, 1 << 14
+#: Pairs of places in lists that may be compared, for each posting, without another leader round.
+COMPARED = 64
 #: Leader rounds at most before all pairs that are left are verified.
 ROUNDS = 6
 
@@ -124,18 +126,18 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(counts: DataFrame, bound: int) -> np.ndarray:
-    """A bit for each counter: over the bound? 128 KB, whatever the input."""
+    """How common the shingles of each counter are: 0 up to the bound, then one more a doubling. 1 MB, whatever the input."""
     schema = "chunk int, counts binary"
     salted = counts.repartition(F.col("chunk"), F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_add_chunks, schema)
     whole = salted.repartition("chunk").mapInArrow(_add_chunks, schema)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.packbits(np.frombuffer(c.as_buffer(), "<u8") > bound).tobytes() for c in batch.column("counts")]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(packed, pa.binary())], ["chunk", "counts"])
+            level = [np.ceil(np.log2(np.maximum(np.frombuffer(c.as_buffer(), "<u8") / bound, 1))).astype(np.uint8).tobytes() for c in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(level, pa.binary())], ["chunk", "counts"])
 
-    out = np.zeros(((1 << COUNTER_BITS) // CHUNK, CHUNK // 8), np.uint8)
-    for row in whole.mapInArrow(bits, schema).collect():  # 64 rows of 2 KB
+    out = np.zeros(((1 << COUNTER_BITS) // CHUNK, CHUNK), np.uint8)
+    for row in whole.mapInArrow(levels, schema).collect():  # 64 rows of 16 KB
         out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 
@@ -167,15 +169,14 @@ def boundary(sizes: dict[int, int], percent: int, shared: int = SHARED) -> int:
 
 
 def _entries(shingle: int, percent: int, x: int, common: np.ndarray):
-    """Light rows (sizes low and high, subset as code, node, n) and postings (low null; code, node, n)."""
+    """Light rows (sizes low and high, subset as code, node, n) and postings (low null; code, node, n, how many of its postings are common, place)."""
     least = least_share(x + 1, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(common).astype(bool)
         shift = np.uint64(64 - COUNTER_BITS)
-        names = ["low", "high", "code", "node", "n"]
+        names = ["low", "high", "code", "node", "n", "known", "at"]
         for batch in text_slices(batches, "text"):
-            light, parts, sizes, docs = [], [], [], []
+            light, parts, sizes, docs, known = [], [], [], [], []
             for doc, codes in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), shingle)):
                 n = len(codes)
                 if 0 < n <= x:
@@ -183,13 +184,14 @@ def _entries(shingle: int, percent: int, x: int, common: np.ndarray):
                     for m in partner_sizes(n, x, percent):
                         for chosen in combinations(mixed, needed(n, m, percent)):
                             subset = (sum(chosen) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-                            light.append((min(n, m), max(n, m), subset, doc, n))
+                            light.append((min(n, m), max(n, m), subset, doc, n, None, None))
                 if n >= least:
-                    hot = flags[codes >> shift]
-                    parts.append(np.concatenate([codes[~hot], codes[hot]])[: min(n, n - least_share(n, percent) + SHARED)])
+                    rarest = codes[np.argsort(common[codes >> shift], kind="stable")]
+                    parts.append(rarest[: min(n, n - least_share(n, percent) + SHARED)])
+                    known.append(np.count_nonzero(common[parts[-1] >> shift]))
                     sizes.append(n)
                     docs.append(doc)
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             if light:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*light), kinds)], names)
             if parts:
@@ -202,6 +204,8 @@ def _entries(shingle: int, percent: int, x: int, common: np.ndarray):
                         pa.array(codes.view(np.int64)),
                         pa.array(np.repeat(np.array(docs, np.int64), lengths)),
                         pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                        pa.array(np.repeat(np.array(known, np.int32), lengths)),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
                     ],
                     names,
                 )
@@ -210,7 +214,7 @@ def _entries(shingle: int, percent: int, x: int, common: np.ndarray):
 
 
 def entries(docs: DataFrame, shingle: int, percent: int, x: int, common: np.ndarray) -> DataFrame:
-    schema = "low int, high int, code long, node long, n int"
+    schema = "low int, high int, code long, node long, n int, known int, at int"
     return cut(docs.mapInArrow(_entries(shingle, percent, x, common), schema), "entries")
 
 
@@ -275,11 +279,11 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
 def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int, links: DataFrame) -> DataFrame:
     """Links that connect all linked sets of which one at least is heavy, added to those given; a written table."""
-    postings = entries.filter("low is null").select("code", "node", "n")
+    postings = entries.filter("low is null").select("code", "node", "n", "known", "at")
     total = postings.count()
     lists = cut(
         postings.groupBy("code")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "node")).alias("leader"))
+        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct((-F.col("known")).alias("most"), "n", "node")).alias("leader"))
         .filter("k > 1")
         .select("code", "k", F.col("leader.n").alias("leader_n"), F.col("leader.node").alias("leader")),
         "lists",
@@ -294,7 +298,7 @@ def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int,
         posted = lambda k: F.least(k, k - F.ceil(k * percent / 100) + SHARED)
         return (shared + F.greatest(n - posted(n), m - posted(m))) * (100 + percent) >= (n + m) * percent
 
-    # each set meets the leader it shares most lists with
+    # each set meets the leader it shares most lists with; a list's leader has most common postings, so it lies amid its copies
     met = (
         alive.filter("node != leader")
         .filter(near(F.col("n"), F.col("leader_n")))
@@ -306,38 +310,48 @@ def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int,
     )
     pairs = cut(met.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pairs")
     links = cut(links.unionByName(verified(pairs, docs, shingle, percent)), "links")
-    postings = alive.select("code", "node", "n")
+    postings = alive.select("code", "node", "n", "at")
     for turn in range(ROUNDS + 1):
         labels = components(links)
         placed = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = cut(placed, "placed")
+        by_component = placed.groupBy("code", "component").agg(
+            F.count(F.lit(1)).alias("k"),
+            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.struct("node", "n", "component").alias("of"))).alias("first"),
+        )
         open_lists = cut(
-            placed.groupBy("code")
+            by_component.groupBy("code")
             .agg(
-                F.count(F.lit(1)).alias("k"),
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.struct("node", "n", "component").alias("of"))).alias("first"),
+                F.sum("k").alias("k"),
+                F.sum(F.col("k") * F.col("k")).alias("within"),
+                F.max(F.struct("k", "component")).alias("main"),
+                F.min("first").alias("first"),
+                F.count(F.lit(1)).alias("held"),
             )
-            .filter("low != high")
-            .select("code", "k", F.col("first.of").alias("first")),
+            .filter("held > 1")
+            .select("code", "k", "within", F.col("main.component").alias("main"), F.col("first.of").alias("first")),
             "open",
         )
-        size = open_lists.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        size = open_lists.agg(F.sum((F.col("k") * F.col("k") - F.col("within")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
         if not size["rows"]:
             break
-        last = size["pairs"] <= 8 * total or turn == ROUNDS
+        last = size["pairs"] <= COMPARED * total or turn == ROUNDS
         rows = heavy_join(placed, open_lists, ["code"], total, "k")
         if last:
-            one = cut(rows.select("code", "node", "n", "component"), "rows")
-            two = one.select("code", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
+            # in each list only sets outside its largest component are paired, with sets of other components
+            held = cut(rows.select("code", "node", "n", "at", "component", "main"), "rows")
+            outside = held.filter("component != main").select("code", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "component")])
+            # a pair of sizes that must share c shingles shares r of its first n - c + r and m - c + r, for any r
+            c = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
+            r = SHARED + F.floor((c - F.ceil(F.greatest("n", "n_b") * percent / 100)) / 3)
             chosen = (
-                one.join(two, "code")
-                .filter("node < node_b and component != component_b")
+                held.join(outside, "code")
+                .filter("component != component_b and (component = main or node < node_b)")
                 .filter(near(F.col("n"), F.col("n_b")))
+                .filter((F.col("at") < F.col("n") - c + r) & (F.col("at_b") < F.col("n_b") - c + r))
                 .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b")
                 .agg(F.count(F.lit(1)).alias("shared"))
-                .filter(enough(F.col("shared"), F.col("n"), F.col("n_b")))
+                .filter(F.col("shared") >= r)
                 .select("a", "b")
             )
         else:
