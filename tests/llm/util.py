@@ -16,7 +16,7 @@ def odd_docs(spark, extra=()):
         (6, long, "y", 6),
         (7, long, "y", 7),
         (8, long.replace("alpha0", "omega"), "y", 8),
-        (9, "Å ß été \U0001f600 mail a.b@c.org +1 (743) 555-3824 10.0.0.1", "y", 9),
+        (9, "Å ß été \U0001f600 mail a.b@c.org +1 (743) 555-3824, 10.0.0.1", "y", 9),
         (10, " \n\t ", "z", 10),
         *extra,
     ]
