@@ -5,7 +5,7 @@ categories' log-odds as further features, and is trained with their out-of-fold
 values as at scoring. The models are fitted on a bounded sample of labelled documents (``SAMPLE`` rows of least id hash,
 whole texts); all else reads all documents. Features are the presence of words, ASCII case folded and without outer
 punctuation, known by 64-bit codes; a category's words are those whose chi-square in the sample is over ``CHI2``, at most
-``WORDS``. The models, a few hundred numbers, travel with the tasks; scoring is one pass without a shuffle.
+``WORDS``, without words that only a group of near copies holds. The models, a few hundred numbers, travel with the tasks; scoring is one pass without a shuffle.
 
 Defined cases: null or empty text has no words and gets the models' base rate; repeated rows are scored alike; null labels or
 labels of unknown documents are not used; with fewer than two classes in the sample a model gives the sample's rate; an empty
@@ -27,7 +27,7 @@ from . import words as W
 from .common import blank, text_slices
 
 CATEGORIES = ("low_quality", "toxic")
-SAMPLE, FOLDS, CHI2, WORDS = 8000, 5, 40.0, 400
+SAMPLE, FOLDS, CHI2, WORDS, ALIKE = 8000, 5, 40.0, 400, 0.5
 THRESHOLD = 0.5
 PUNCTUATION = ".,;:!?\"'()[]{}%&$#*|"
 
@@ -75,7 +75,20 @@ def chosen_words(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     spread = expected * (1 - positive / n) * (1 - have / n)
     chi2 = np.where((spread > 0) & (have >= 5), (with_y - expected) ** 2 / np.maximum(spread, 1e-9), 0)
     best = np.argsort(-chi2, kind="stable")[:WORDS]
-    return np.sort(codes[best[chi2[best] > CHI2]])
+    best = best[chi2[best] > CHI2]
+    # a word that stands for one group of near copies says nothing about other documents
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(at, kind="stable")
+    edge = np.searchsorted(at[order], np.arange(len(codes) + 1))
+    good = [k for k in best if _alike([sets[i] for i in owner[order[edge[k] : edge[k + 1]]] if y[i] == (with_y[k] > expected[k])]) <= ALIKE]
+    return np.sort(codes[good]) if good else np.zeros(0, np.uint64)
+
+
+def _alike(sets: list[np.ndarray], most: int = 12) -> float:
+    """Mean Jaccard similarity of neighbours among some of the sets."""
+    some = [sets[int(i)] for i in np.linspace(0, len(sets) - 1, min(most, len(sets)))]
+    both = [len(np.intersect1d(a, b, assume_unique=True)) / max(1, len(np.union1d(a, b))) for i, a in enumerate(some) for b in some[:i]]
+    return float(np.mean(both)) if both else 1.0
 
 
 def fit_linear(sets: list[np.ndarray], before: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> Linear:
@@ -145,6 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear
 
     got = rows.select("doc_id", "quality", "toxic", "text").mapInArrow(run, "doc_id long, quality int, toxic int, codes binary")
     got = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    _, first = np.unique(np.array([b.as_py() for b in got["codes"]], object), return_index=True) if len(got) else (0, [])
+    got = got.take(np.sort(np.array(first, np.int64)))  # equal sets count once
     sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in got["codes"]]
     y = np.stack([1.0 - got["quality"].to_numpy(), got["toxic"].to_numpy().astype(float)], axis=1)
     return fit_chain(sets, y)
