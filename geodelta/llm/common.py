@@ -107,6 +107,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 <<
             if end > at:
                 yield batch.slice(at, end - at)
                 at = end
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """A Python worker is kept for later tasks; what this task has freed goes back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def blank(text: str | Column) -> Column:
@@ -115,9 +126,9 @@ def blank(text: str | Column) -> Column:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches to and from Python hold about 8 MB, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches to and from Python hold about 4 MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

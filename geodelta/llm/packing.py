@@ -35,7 +35,7 @@ _encoders: dict[tuple[str, str], object] = {}
 
 
 def encoder(ranks_path: str, pattern: str):
-    """The byte-level BPE of the public vocabulary, loaded once a worker."""
+    """The byte-level BPE of the public vocabulary, loaded once a task."""
     import tiktoken
 
     if (ranks_path, pattern) not in _encoders:
@@ -67,6 +67,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY,
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names[: 5 + with_ids])
+        _encoders.clear()  # an idle worker need not hold it
 
     return docs.select("doc_id", blank("text").alias("text")).mapInArrow(run, schema)
 

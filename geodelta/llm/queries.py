@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, license_scan, packing, permutation_index, pii, sharding, substring_dedup, toxicity
+from . import exact_dedup, jaccard_join, license_scan, packing, permutation_index, pii, sentencepiece_codec, sharding, substring_dedup, toxicity
 from .common import read_table
 
 
@@ -37,6 +37,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -27,7 +27,7 @@ from . import words as W
 from .common import blank, text_slices
 
 CATEGORIES = ("low_quality", "toxic")
-SAMPLE, FOLDS, CHI2, WORDS, ALIKE = 8000, 5, 40.0, 400, 0.5
+SAMPLE, FOLDS, CHI2, WORDS, ALIKE = 8000, 5, 40.0, 200, 0.5
 THRESHOLD = 0.5
 PUNCTUATION = ".,;:!?\"'()[]{}%&$#*|"
 
@@ -108,7 +108,7 @@ def fit_linear(sets: list[np.ndarray], before: np.ndarray, y: np.ndarray, steps:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     k = len(model.codes)
     model.weights, model.earlier, model.bias = w[:k], w[k:-1], float(w[-1])
