@@ -3,9 +3,9 @@
 A text is escaped (a leading and all other spaces become the space sign) and cut before each run of space signs; no piece of such a
 model reaches over that boundary (checked when it is loaded). Of a batch, the segments not seen before in the task are concatenated; the
 array of their suffixes is sorted, and every piece of the vocabulary is found in it by binary search, as a range of occurrences.
-Occurrences are edges between places; sorted by position, they belong to segments. Relaxing a segment's edges follows the model's rule: of the edges that join
-two neighbouring parts the one with the best score (leftmost on ties) is taken, until none is left. Characters outside the
-vocabulary become their bytes. Decoding is the inverse, by a table of the pieces' bytes.
+Occurrences are edges between places, sorted by position. Relaxing a segment's edges follows the model's rule: of the edges that join
+two neighbouring parts the one with the best score (leftmost on ties) is taken, until none is left; all short segments are relaxed at
+once, a step of each in a round. Characters outside the vocabulary become their bytes. Decoding is the inverse, by a table of the pieces' bytes.
 
 Results equal the public library's for models with the identity normaliser. Memory is bounded by the batch and the task's table of segments
 (``KNOWN`` at most; when full it starts anew). One pass, no shuffle.
@@ -30,6 +30,8 @@ from .common import blank, text_slices
 SPACE = "▁"
 END = "\U0010ffff"
 KNOWN = 400_000
+#: Characters of new segments matched at a time, and the size from which a segment is relaxed alone.
+PART, LONG = 1 << 18, 64
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, same boolean"
 
@@ -46,7 +48,9 @@ class Codec:
         self.pieces = {model.id_to_piece(i): i for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece reaches over a space")
-        self.score = {i: model.get_score(i) for i in plain}
+        # the last entry stands for no piece
+        self.scores = np.full(n + 1, -np.inf)
+        self.scores[plain] = [model.get_score(i) for i in plain]
         self.byte_ids = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.table = [b""] * n
         for p, i in self.pieces.items():
@@ -60,8 +64,8 @@ class Codec:
         self.sizes = np.char.str_len(self.names)
         self.known: dict[str, list[int]] = {}
 
-    def edges(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, id) of all occurrences of pieces in the joined segments, by position."""
+    def edges(self, segments: list[str]) -> np.ndarray:
+        """at[start, size] is the id of the piece that occurs there in the joined segments, -1 where none does."""
         text = END.join(segments) + END * self.width
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         n = len(points) - self.width
@@ -82,54 +86,60 @@ class Codec:
         count = np.maximum(high - low, 0)
         first = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
         start = order[first + np.arange(count.sum())]
-        size = np.repeat(self.sizes, count)
-        ids = np.repeat(self.ids, count)
+        # sorting by position: each edge goes to the row of its start
+        at = np.full((n, self.width + 1), -1, np.int32)
+        at[start, np.repeat(self.sizes, count)] = np.repeat(self.ids, count)
+        return at
+
+    def offers(self, at: np.ndarray, left: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The scores of the edges from the starts left to the ends after; no edge is minus infinity."""
+        size = after - left
+        fits = (size > 0) & (size <= self.width)
+        return np.where(fits, self.scores[at[left, np.where(fits, size, 0)]], -np.inf)
+
+    def relax_many(self, at: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the parts of all segments, by position. In a round each segment's best edge, leftmost on ties, joins two parts."""
+        owner = np.repeat(np.arange(len(base)), size)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + base[owner]
+        stop = base + size
+        done = []
+        while len(start):
+            # a part's end is the next part's start, or the segment's end
+            last = np.append(owner[1:] != owner[:-1], True)
+            end = np.where(last, stop[owner], np.append(start[1:], 0))
+            offer = np.where(last, -np.inf, self.offers(at, start, np.append(end[1:], 0)))
+            begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            lengths = np.diff(np.append(begins, len(owner)))
+            best = np.maximum.reduceat(offer, begins)
+            open_ = np.repeat(best > -np.inf, lengths)
+            done.append((start[~open_], end[~open_]))
+            hit = np.flatnonzero((offer == np.repeat(best, lengths)) & open_)
+            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])] if len(hit) else hit
+            keep = open_
+            keep[hit + 1] = False
+            start, owner = start[keep], owner[keep]
+        start, end = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, int), np.zeros(0, int))
         by = np.argsort(start, kind="stable")
-        return start[by], start[by] + size[by], ids[by]
-
-    def relax_short(self, base: int, size: int, text: str, at: dict[tuple[int, int], int]) -> list[int]:
-        """As ``relax``, by looking at all neighbours each time; quicker for the usual short segments."""
-        none, score = -1e300, self.score
-        edge = list(range(base, base + size + 1))
-        offers = [score[at[k, k + 2]] if (k, k + 2) in at else none for k in edge[:-2]]
-        while offers:
-            best = max(offers)
-            if best == none:
-                break
-            k = offers.index(best)
-            del edge[k + 1], offers[k]
-            for j in (k - 1, k):
-                if 0 <= j < len(offers):
-                    piece = at.get((edge[j], edge[j + 2]))
-                    offers[j] = none if piece is None else score[piece]
-        out = []
-        for a, b in zip(edge, edge[1:]):
-            piece = at.get((a, b))
-            if piece is None:
-                out += [self.byte_ids[c] for c in text[a - base : b - base].encode("utf-8", "replace")]
-            else:
-                out.append(piece)
-        return out
-
-    def relax(self, base: int, size: int, text: str, at: dict[tuple[int, int], int]) -> list[int]:
-        """The ids of the segment text that starts at base."""
-        if size <= 40:
-            return self.relax_short(base, size, text, at)
+        return start[by], end[by]
+
+    def relax_long(self, at: np.ndarray, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``relax_many`` for one long segment, by a heap of edges."""
+        rows, sizes = np.nonzero(at[base : base + size] >= 0)
+        score = dict(zip(zip(rows.tolist(), (rows + sizes).tolist()), self.scores[at[base + rows, sizes]].tolist()))
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         end = list(range(1, size + 1))
         alive = [True] * size
         heap: list[tuple[float, int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            piece = at.get((base + i, base + end[j]))
-            if piece is not None:
-                heapq.heappush(heap, (-self.score[piece], i, j, end[j]))
+            if (i, end[j]) in score:
+                heapq.heappush(heap, (-score[i, end[j]], i, j, end[j]))
 
         for i in range(size - 1):
             offer(i, i + 1)
         while heap:
             _, i, j, stop = heapq.heappop(heap)
-            if not (alive[i] and j < size and alive[j] and after[i] == j and end[j] == stop):
+            if not (alive[i] and after[i] == j and j < size and alive[j] and end[j] == stop):
                 continue
             alive[j] = False
             end[i], after[i] = stop, after[j]
@@ -138,31 +148,44 @@ class Codec:
                 offer(i, after[i])
             if before[i] >= 0:
                 offer(before[i], i)
-        out, i = [], 0
-        while i < size:
-            piece = at.get((base + i, base + end[i]))
-            if piece is None:
-                out += [self.byte_ids[b] for b in text[i : end[i]].encode("utf-8", "replace")]
-            else:
-                out.append(piece)
-            i = after[i]
-        return out
+        start = base + np.flatnonzero(alive)
+        return start, np.append(start[1:], base + size)
 
     def learn(self, segments: list[str]) -> None:
-        """Encode new segments and keep them."""
-        if not segments:
-            return
+        """Encode new segments, some at a time, and keep them."""
         if len(self.known) + len(segments) > KNOWN:
             self.known = {}
-        start, end, ids = (x.tolist() for x in self.edges(segments))
-        k = base = 0
-        for s in segments:
-            stop, at = base + len(s), {}
-            while k < len(start) and start[k] < stop:
-                at[start[k], end[k]] = ids[k]
-                k += 1
-            self.known[s] = self.relax(base, len(s), s, at)
-            base = stop + 1
+        total = np.cumsum([len(s) for s in segments]) // PART
+        edge = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(segments)]
+        for a, b in zip(edge, edge[1:]):
+            if b > a:
+                self.learn_some(segments[a:b])
+
+    def learn_some(self, segments: list[str]) -> None:
+        at = self.edges(segments)
+        size = np.array([len(s) for s in segments])
+        base = np.cumsum(size + 1) - size - 1
+        short = size <= LONG
+        parts = [self.relax_many(at, base[short], size[short])]
+        parts += [self.relax_long(at, int(base[k]), int(size[k])) for k in np.flatnonzero(~short)]
+        start, end = (np.concatenate(x) for x in zip(*parts))
+        by = np.argsort(start, kind="stable")
+        start, end = start[by], end[by]
+        # a part that is no edge is a single character outside the vocabulary, as its bytes
+        span = end - start
+        ids = np.where(span <= self.width, at[start, np.minimum(span, self.width)], -1)
+        owner = np.searchsorted(base, start, "right") - 1
+        unknown = {}
+        for k in np.flatnonzero(ids < 0).tolist():
+            o = owner[k]
+            text = segments[o][start[k] - base[o] : end[k] - base[o]]
+            unknown[k] = [self.byte_ids[b] for b in text.encode("utf-8", "replace")]
+        edge = np.searchsorted(owner, np.arange(len(segments) + 1)).tolist()
+        mixed = set(owner[list(unknown)].tolist())
+        flat = ids.tolist()
+        for k, s in enumerate(segments):
+            a, b = edge[k], edge[k + 1]
+            self.known[s] = [i for j in range(a, b) for i in unknown.get(j, flat[j : j + 1])] if k in mixed else flat[a:b]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]

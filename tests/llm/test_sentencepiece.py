@@ -42,3 +42,10 @@ def test_table_starts_anew(monkeypatch):
     for _ in range(2):
         for t in texts:
             assert codec.encode([t]) == [MODEL.encode(t)]
+
+
+def test_long_segments():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("etaoinshrdlucé😀中"))
+    texts = ["".join(rng.choice(letters, n)) for n in (63, 64, 65, 300, 5000)] + ["a" * 200, "word " + "x-" * 90 + " end", " " * 100]
+    assert CODEC.encode(texts) == MODEL.encode(texts)
