@@ -5,7 +5,8 @@ categories' log-odds as further features, and is trained with their out-of-fold
 values as at scoring. The models are fitted on a bounded sample of labelled documents (``SAMPLE`` rows of least id hash,
 whole texts); all else reads all documents. Features are the presence of words, ASCII case folded and without outer
 punctuation, known by 64-bit codes; a category's words are those whose chi-square in the sample is over ``CHI2``, at most
-``WORDS``, without words that only a group of near copies holds. The models, a few hundred numbers, travel with the tasks; scoring is one pass without a shuffle.
+``WORDS``, without words that only a group of near copies holds (unless there are no others). The
+threshold of the last is the one of the greatest F1 of its out-of-fold predictions. The models, a few hundred numbers, travel with the tasks; scoring is one pass without a shuffle.
 
 Defined cases: null or empty text has no words and gets the models' base rate; repeated rows are scored alike; null labels or
 labels of unknown documents are not used; with fewer than two classes in the sample a model gives the sample's rate; an empty
@@ -27,8 +28,7 @@ from . import words as W
 from .common import blank, text_slices
 
 CATEGORIES = ("low_quality", "toxic")
-SAMPLE, FOLDS, CHI2, WORDS, ALIKE = 8000, 5, 40.0, 200, 0.5
-THRESHOLD = 0.5
+SAMPLE, FOLDS, CHI2, WORDS, ALIKE, RIDGE = 8000, 5, 20.0, 200, 0.5, 0.2
 PUNCTUATION = ".,;:!?\"'()[]{}%&$#*|"
 
 
@@ -48,6 +48,8 @@ class Linear:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     earlier: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
+    #: probability from which the category is called
+    threshold: float = 0.5
 
     def matrix(self, sets: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(sets), len(self.codes)), np.float32)
@@ -76,12 +78,13 @@ def chosen_words(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     chi2 = np.where((spread > 0) & (have >= 5), (with_y - expected) ** 2 / np.maximum(spread, 1e-9), 0)
     best = np.argsort(-chi2, kind="stable")[:WORDS]
     best = best[chi2[best] > CHI2]
-    # a word that stands for one group of near copies says nothing about other documents
+    # a word that stands for one group of near copies says nothing about other documents; how alike any texts are is allowed for
+    bound = ALIKE + (1 - ALIKE) * _alike(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(at, kind="stable")
     edge = np.searchsorted(at[order], np.arange(len(codes) + 1))
-    good = [k for k in best if _alike([sets[i] for i in owner[order[edge[k] : edge[k + 1]]] if y[i] == (with_y[k] > expected[k])]) <= ALIKE]
-    return np.sort(codes[good]) if good else np.zeros(0, np.uint64)
+    good = [k for k in best if _alike([sets[i] for i in owner[order[edge[k] : edge[k + 1]]] if y[i] == (with_y[k] > expected[k])]) <= bound]
+    return np.sort(codes[good or best])  # such words are used only when there are no others
 
 
 def _alike(sets: list[np.ndarray], most: int = 12) -> float:
@@ -91,7 +94,7 @@ def _alike(sets: list[np.ndarray], most: int = 12) -> float:
     return float(np.mean(both)) if both else 1.0
 
 
-def fit_linear(sets: list[np.ndarray], before: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> Linear:
+def fit_linear(sets: list[np.ndarray], before: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = RIDGE) -> Linear:
     """Ridge logistic regression by Newton's method."""
     model = Linear(earlier=np.zeros(before.shape[1]))
     rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
@@ -129,10 +132,22 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) ->
                 train = [s for s, t in zip(sets, test) if not t]
                 model = fit_linear(train, before[~test], y[~test])
                 held[test] = model.log_odds([s for s, t in zip(sets, test) if t], before[test])
+        chain[-1].threshold = best_threshold(1 / (1 + np.exp(-held)), y)
         before = np.hstack([before, held[:, None]])
     return chain
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of the greatest F1 of out-of-fold probabilities (the highest on ties); a half if a class is missing."""
+    if len(np.unique(y)) < 2:
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    values, at = p[order], np.arange(1, len(p) + 1)
+    f1 = 2 * np.cumsum(y[order]) / (at + y.sum())
+    last = np.append(values[1:] != values[:-1], True)  # equal probabilities fall on one side
+    return float(values[np.argmax(np.where(last, f1, -1))])
+
+
 def chain_probabilities(chain: list[Linear], sets: list[np.ndarray]) -> np.ndarray:
     odds = np.zeros((len(sets), 0))
     for model in chain:
@@ -187,10 +202,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """doc_id, p_low_quality, p_toxic, toxic."""
     chain = fit(docs, labels, sample)
     out = _scored(docs.select("doc_id", "text"), chain)
-    return out.select("doc_id", *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+    return out.select("doc_id", *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= chain[-1].threshold).alias("toxic"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the documents the chain calls toxic; all columns stay."""
     chain = fit(docs, labels, sample)
-    return _scored(docs, chain).filter(F.col("p_toxic") < THRESHOLD).select(*docs.columns)
+    return _scored(docs, chain).filter(F.col("p_toxic") < chain[-1].threshold).select(*docs.columns)
