@@ -69,7 +69,7 @@ def is_strong(cn0: Column) -> Column:
 
 
 def validate(df: DataFrame, error: Column, mode: str = "PERMISSIVE") -> DataFrame:
-    """PERMISSIVE adds the error's columns, DROPMALFORMED drops bad rows, FAILFAST raises on the first one."""
+    """PERMISSIVE adds the error's columns, DROPMALFORMED drops bad rows, FAILFAST raises on a bad row (of several tasks, the first to meet one)."""
     out = df.withColumn("_error", error)
     if mode == "DROPMALFORMED":
         return out.filter(F.col("_error").isNull()).drop("_error")

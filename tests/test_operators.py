@@ -45,7 +45,7 @@ def test_validation_modes(spark):
     assert [(r["error_code"], r["error_value"]) for r in out] == [("InvalidSlot", 9), ("InvalidPseudorange", 1), ("InvalidDoppler", 6_000_000), (None, None)]
     assert validation.validate(rows, validation.observation_error(), "DROPMALFORMED").count() == 1
     with pytest.raises(Exception, match="InvalidSlot"):
-        validation.validate(rows, validation.observation_error(), "FAILFAST").collect()
+        validation.validate(rows.coalesce(1), validation.observation_error(), "FAILFAST").collect()
     zero = spark.range(1).select(satellites.zeroed().alias("z")).select("z.*").withColumn("constellation", F.lit("GLO"))
     assert validation.validate(zero, validation.observation_error()).first()["error_code"] == "InvalidPseudorange"
 
