@@ -349,9 +349,10 @@ def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int,
                 .filter("component != component_b and (component = main or node < node_b)")
                 .filter(near(F.col("n"), F.col("n_b")))
                 .filter((F.col("at") < F.col("n") - c + r) & (F.col("at_b") < F.col("n_b") - c + r))
-                .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b")
-                .agg(F.count(F.lit(1)).alias("shared"))
-                .filter(F.col("shared") >= r)
+                # a pair comes either way round, as the largest component differs from list to list: count it as one
+                .groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+                .agg(F.count(F.lit(1)).alias("shared"), F.first(r).alias("r"))
+                .filter("shared >= r")
                 .select("a", "b")
             )
         else:

@@ -95,3 +95,20 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(41)) and got[300] == 100 and got[200] == 100
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_threshold_pairs_of_shared_phrases(spark, seed):
+    """Pairs that just link, of phrases that many documents hold, so that lists differ in their largest component."""
+    rng = random.Random(seed)
+    phrases = [[f"p{k}w{i}" for i in range(10)] for k in range(10)]
+    rows = []
+    for g in range(90):
+        words = [w for k in rng.sample(range(10), 6) for w in phrases[k]][: rng.choice([53, 54, 55, 57])]
+        at = rng.randrange(4, len(words) - 4)
+        rows += [words, [*words[:at], f"new{g}", *words[at + 1 :]]]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect())
+    assert got == brute(rows)
