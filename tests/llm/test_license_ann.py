@@ -1,7 +1,11 @@
+import random
 import re
+import textwrap
 
 import numpy as np
+import pyarrow as pa
 from geodelta.llm import license_scan, permutation_index
+from geodelta.llm import words as W
 
 from .util import empty_docs, odd_docs
 
@@ -82,3 +86,49 @@ def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [2.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in permutation_index.search_every(few).collect()] == [(0, 1, 2, 2.0), (0, 2, 1, 0.5)]
     assert permutation_index.search_every(few.limit(0)).count() == 0
+
+
+def wrapped(text, width=60):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_license_blocks(spark):
+    """Full texts and notices over several lines, inside longer documents."""
+    prose = "\n".join(f"line {i} of some prose that goes on" for i in range(300))
+    notice = license_scan.TEMPLATES["MIT"][2]
+    full = {name: texts[-1] for name, texts in license_scan.TEMPLATES.items() if name in license_scan.FULL}
+    texts = {100: ("MIT", 300), 101: ("MIT", 0), 102: ("BSD-3-Clause", 300), 103: ("MIT", 300)}
+    rows = [
+        (100, prose + "\n" + wrapped(notice) + "\n" + prose),
+        (101, wrapped(notice) + "\n" + prose),
+        (102, prose + "\n" + wrapped(full["BSD-3-Clause"], 78)),
+        (103, prose + "\n" + wrapped(full["MIT"].split("\n", 2)[2], 78) + "\n" + prose),
+        (104, prose),
+    ]
+    for name, text in full.items():
+        rows.append((200 + len(rows), wrapped("Copyright (c) 2020 Some One\n" + text, 78)))
+        texts[rows[-1][0]] = name, -1
+    got = {r["doc_id"]: (r["license"], r["line_no"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(104) == (None, None)
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in texts.items()}
+    assert all(got[i] == texts[i] for i in (100, 101, 102, 103))
+
+
+def test_block_search_is_whole():
+    """Against all blocks, one by one."""
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = [[rng.randrange(6 + 20 * (rng.random() < 0.3)) for _ in range(rng.choice([0, 1, 2, 4]))] for _ in range(rng.randint(1, 9))]
+        words = [w for line in lines for w in line]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+        runs = np.array([a * 100 + b for a, b in zip(words, words[1:])], np.uint64)
+        template = np.unique(runs[rng.randrange(max(1, len(runs))) :][: rng.randint(2, 8)])
+        if not len(template):
+            continue
+        grams = lambda i, j: set(runs[starts[i] : max(starts[i], starts[j] - 1)].tolist())
+        all_dice = {(i, j): 2 * len(grams(i, j) & set(template.tolist())) / (len(grams(i, j)) + len(template)) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)}
+        held = len(set(runs.tolist()) & set(template.tolist()))
+        got = list(license_scan.units_of(runs, starts, template, held)) if held >= license_scan.size_bounds(len(template))[0] else []
+        assert max((d for d, _ in got), default=0) == max((d for d in all_dice.values() if d >= 0.8), default=0)
+        assert all(all_dice[i, j] == d for d, (_, i, j) in got)
+        assert {i for _, (kind, i, _) in got if kind == 0} == {i for (i, j), d in all_dice.items() if j == i + 1 and d >= 0.8}
