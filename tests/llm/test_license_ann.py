@@ -132,3 +132,16 @@ def test_block_search_is_whole():
         assert max((d for d, _ in got), default=0) == max((d for d in all_dice.values() if d >= 0.8), default=0)
         assert all(all_dice[i, j] == d for d, (_, i, j) in got)
         assert {i for _, (kind, i, _) in got if kind == 0} == {i for (i, j), d in all_dice.items() if j == i + 1 and d >= 0.8}
+
+
+def test_repeated_notice_is_whole(spark):
+    """A wrapped notice many times over has few distinct bigrams, however long it is."""
+    text = "\n".join(["Use of this source code is governed", "by a BSD-style license that can be", "found in the LICENSE file."] * 400)
+    got = [tuple(r) for r in license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
+    assert got[0][3] == "BSD-3-Clause" and got[0][1] == 1200
+    distinct = text.split()
+    codes, starts = license_scan.unit_words(pa.array(text.split("\n")))
+    runs = W.run_codes(codes, 2)
+    template = next(np.array(list(s), np.uint64) for n, s in license_scan.templates() if n == "BSD-3-Clause")
+    held = len(np.intersect1d(runs, template))
+    assert len(distinct) > 2000 and any(kind == 1 for _, (kind, _, _) in license_scan.units_of(runs, starts, template, held))
