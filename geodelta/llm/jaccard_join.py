@@ -69,7 +69,8 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         if b - a >= size:
             yield np.unique(runs[a : b - size + 1])
         elif b > a:
-            yield W.run_codes(codes[a:b], int(b - a))
+            # with the length, as runs of different lengths may have one code
+            yield W.join(W.run_codes(codes[a:b], int(b - a)), np.full(1, b - a, np.uint64))
         else:
             yield np.zeros(0, np.uint64)
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from geodelta.llm import jaccard_join
 from geodelta.llm.components import components
@@ -112,3 +113,9 @@ def test_near_threshold_pairs_of_shared_phrases(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect())
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_short_texts_differ(size):
+    texts = ["a b c", "a b b c", "a b", "a b b", "a", "a a", "a a a", "a a a a"]
+    assert len({tuple(s.tolist()) for s in jaccard_join.shingle_sets(pa.array(texts), size)}) == len(texts)
