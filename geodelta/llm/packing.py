@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ END_ID = 2
 #: Pieces in a hash block at most, about.
 BLOCK = 20_000
 
+#: The vocabulary's added token; tokenizers gives it one id wherever it stands in a text.
+ADDED = {"<|endoftext|>": 50256}
+
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -41,7 +45,7 @@ def encoder(ranks_path: str, pattern: str):
     if (ranks_path, pattern) not in _encoders:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[ranks_path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[ranks_path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
     return _encoders[ranks_path, pattern]
 
 
@@ -51,12 +55,13 @@ def cut_points(n: int, cap: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, cap) for at in range(first, n, cap))]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and ids (binary, unsigned 32-bit) if asked for."""
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = True, added: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and ids (binary, unsigned 32-bit) if asked for; ``added``: texts may hold added tokens."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        coder = encoder(ranks_path, pattern)
+        encode = partial(coder.encode, allowed_special=set(ADDED), disallowed_special=()) if added else coder.encode_ordinary
         for batch in text_slices(batches, "text", 2 << 20):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -128,9 +133,9 @@ def pack_pieces(cut_docs: DataFrame, cap: int = CAPACITY, nodes: int = bins.NODE
     )
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``cap`` tokens; a row for each piece."""
-    return pack_pieces(cut(pieces(docs, ranks_path, pattern, cap, with_ids), "pieces"), cap)
+    return pack_pieces(cut(pieces(docs, ranks_path, pattern, cap, with_ids, added), "pieces"), cap)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

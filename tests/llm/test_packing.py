@@ -113,3 +113,15 @@ def test_packing(spark):
 
 def test_packing_empty(spark):
     assert packing.pack_documents(empty_docs(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_added_token_is_one_id(spark):
+    """As tokenizers gives it with its defaults."""
+    from tokenizers import Tokenizer
+
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n\n c", "<|endoftext |>", "plain"]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes() for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], bytes(r["ids"])) for r in packing.pieces(docs, RANKS, public_tokenizers.PATTERN, added=True).collect())
+    assert got == list(enumerate(want))
