@@ -4,7 +4,8 @@ Pivots are vectors of the corpus (``PIVOTS`` of least id hash, a documented, bou
 of nearness. Vectors lie in shards of at most about ``SHARD`` rows by id hash; a shard's task posts each vector with its rank into
 the inverted file of each of its pivots. A query visits the files of its own nearest pivots and adds up the footrule distance; a pivot that is
 not among a vector's counts as its full length. The ``SHARE`` of the shard's vectors with least footrule (``LEAST`` at least) are reranked by
-inner product in double precision. Every vector is indexed; the queries, in blocks, meet every shard, and a shard gives a query its 20
+inner product in double precision. Every vector is indexed; the queries, in blocks of at most about ``SHARD``,
+meet every shard, a task for each block and shard, and a shard gives a query its 20
 best, so what is shuffled grows with queries, not with lists. On the given tables recall against brute force is about 0.97.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do rows without
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PIVOTS, NEAREST, SHARE, LEAST, SHARD, TOP = 512, 64, 0.1, 1500, 16_384, 20
-QUERY_BLOCK = 256
 
 
 def usable(v: Column) -> Column:
@@ -85,8 +85,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
     data, asked = data.filter(F.size("v") == width), asked.filter(F.size("v") == width)
     shards = max(1, -(-data.count() // SHARD))
     placed = data.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(shards)).cast("int"))
-    # the query set in blocks, each block for every shard
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(max(1, -(-asked.count() // QUERY_BLOCK)))).cast("int"))
+    query_blocks = max(1, -(-asked.count() // SHARD))
+    # the query set in blocks, each block for every shard: a task holds a shard and a block, whatever the table
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(query_blocks)).cast("int"))
     to_shards = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -99,7 +100,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
         parts = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
 
-    found = placed.groupBy("shard").cogroup(to_shards.groupBy("shard")).applyInArrow(run, "query_id long, vec_id long, score double")
+    to_blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    found = to_blocks.groupBy("shard", "block").cogroup(to_shards.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score")))
     # at most ``top`` rows from each shard: merge the shards' bests in two steps, so no list grows with the number of shards
     step = found.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, shards // 64))))

@@ -145,3 +145,22 @@ def test_repeated_notice_is_whole(spark):
     template = next(np.array(list(s), np.uint64) for n, s in license_scan.templates() if n == "BSD-3-Clause")
     held = len(np.intersect1d(runs, template))
     assert len(distinct) > 2000 and any(kind == 1 for _, (kind, _, _) in license_scan.units_of(runs, starts, template, held))
+
+
+def test_queries_meet_shards_in_blocks(spark, monkeypatch):
+    """No task holds more than about a block of queries, and all queries meet all vectors."""
+    monkeypatch.setattr(permutation_index, "SHARD", 300)
+    x = vectors(900)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id long, embedding array<float>")
+    search = permutation_index.search_shard
+
+    def bounded(ids, vectors, q_ids, *rest):
+        assert len(q_ids) <= 450, len(q_ids)
+        return search(ids, vectors, q_ids, *rest)
+
+    monkeypatch.setattr(permutation_index, "search_shard", bounded)
+    got = {}
+    for r in permutation_index.nearest(df, df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert len(got) == 900
+    assert all([v for _, v in sorted(got[q])] == [v for v, _ in truth(np.arange(900), x, q, 20)] for q in (0, 77, 899))
