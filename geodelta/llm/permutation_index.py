@@ -6,7 +6,8 @@ the inverted file of each of its pivots. A query visits the files of its own nea
 not among a vector's counts as its full length. The ``SHARE`` of the shard's vectors with least footrule (``LEAST`` at least) are reranked by
 inner product in double precision. Every vector is indexed; the queries, in blocks of at most about ``SHARD``,
 meet every shard, a task for each block and shard, and a shard gives a query its 20
-best, so what is shuffled grows with queries, not with lists. On the given tables recall against brute force is about 0.97.
+best, so what is shuffled grows with queries, not with lists. Recall against brute force is about 0.95 on a
+full shard of the check tool's vectors; tables of up to ``LEAST`` vectors are reranked whole.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do rows without
 vec_id or of another length than most of the pivots'; equal scores go to the smaller vec_id; repeated rows are candidates of their own except
