@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,14 +15,22 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: A key is heavy when it holds more than 1/HEAVY of all rows; at most HEAVY keys can be.
 HEAVY = 4096
+#: A key of up to so many rows is never heavy.
+LIGHT_ROWS = 1000
+
+
+@cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="geodelta-")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, one of our own in local mode (tests); on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="geodelta-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir(spark.conf.get("spark.app.id", ""))
     return base.rstrip("/")
 
 
@@ -69,28 +78,55 @@ def split_by_keys(big: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame,
     The hash buckets of the keys are broadcast; there are at most KEY_BUCKETS. With very many keys, all rows may go to the
     first part; results do not depend on it.
     """
-    bucket = lambda: F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BUCKETS)).cast("int")
-    marked = F.broadcast(keys.select(bucket().alias("_key_bucket")).distinct())
-    with_bucket = big.withColumn("_key_bucket", bucket())
-    return (
-        with_bucket.join(marked, "_key_bucket", "left_semi").drop("_key_bucket"),
-        with_bucket.join(marked, "_key_bucket", "left_anti").drop("_key_bucket"),
-    )
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BUCKETS)).cast("int")
+    marked = F.broadcast(keys.select(bucket.alias("bucket")).distinct())
+    # the bucket is compared as an expression, so no column of big can clash with it
+    same = bucket_of(big, key) == marked["bucket"]
+    return big.join(marked, same, "left_semi"), big.join(marked, same, "left_anti")
+
+
+def bucket_of(df: DataFrame, key: str) -> Column:
+    return F.pmod(F.xxhash64(df[key]), F.lit(KEY_BUCKETS)).cast("int")
+
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
-def heavy_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
-    """Inner join of rows with one written row per key, where a key may hold a large part of all rows.
+
+def heavy_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with one written row per key, where a key may hold a large part of all rows.
 
     Keys with more than total/HEAVY rows (at most HEAVY of them, so their broadcast is bounded) are
     joined map-side; the rest shuffle, each with at most total/HEAVY rows to a key.
     """
-    bound = max(1000, total // HEAVY)
+    bound = max(LIGHT_ROWS, total // HEAVY)
     heavy = groups.filter(F.col(count) > bound)
     light = groups.filter(F.col(count) <= bound)
     if heavy.limit(1).count() == 0:
-        return rows.join(light, keys)
+        return rows.join(light, keys, how)
     hot = F.broadcast(heavy)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(light, keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(light, keys, how))
+
+
+def salted_join(rows: DataFrame, single: DataFrame, key: str, salt_by: str, counted: DataFrame, total: int) -> DataFrame:
+    """Inner join of rows with a wide row per key, where a key may hold a large part of all rows; ``counted``: a written table with the same keys.
+
+    A key of more than total/HEAVY rows is dealt over parts of about that size, and its wide row goes to each of them; there are
+    at most HEAVY such keys, and at most 2 HEAVY parts of them, so what is broadcast and repeated is bounded.
+    """
+    bound = max(LIGHT_ROWS, total // HEAVY)
+    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound)
+    hot = cut(hot.select(key, F.ceil(F.col("n") / bound).cast("int").alias("parts")), "hot")
+    if hot.limit(1).count() == 0:
+        return rows.join(single, key)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(salt_by), parts).cast("int")).drop("parts")
+    each = single.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(each, [key, "salt"]).drop("salt")
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
