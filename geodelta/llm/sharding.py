@@ -1,18 +1,18 @@
 """Sharding by a two-pass external shuffle, DataFrame functions only. Law of the shards: ``rows``.
 
-Method. Pass 1 scatters the records uniformly into memory-sized buckets by a seeded hash of the row's id
-(never of its text, so a group of equal texts spreads over all buckets). Pass 2 puts one bucket into one
-task (``repartitionById``), sorts it by id so that a rerun sees the same order, and applies Fisher-Yates
-(Spark's seeded ``shuffle``) to the whole records. The buckets one after another are a global order; cut into
-24 runs whose lengths differ by one at most, it gives shard and slot.
+Method. Pass 1 scatters the records uniformly into memory-sized buckets by a seeded hash of the row's place in the
+input (its partition and row number there), so neither equal texts nor equal or missing ids fall together. Pass 2 reads a reducer's buckets
+one by one, applies Fisher-Yates (Spark's seeded ``shuffle``) to the whole records of each, and writes them to the shared folder. The
+buckets one after another are a global order; cut into 24 runs whose lengths differ by one at most, it gives shard and slot. Where a bucket starts
+is read off the written table.
 
-A bucket's number of records is bounded: the number of buckets follows the counted bytes, and the hash is
-uniform. A task holds one bucket. Both passes are plain shuffles, so a lost executor only repeats its buckets,
-with the same result.
+The number of buckets follows the counted bytes without a limit, so a bucket always fits in memory. Buckets share at most ``REDUCERS`` shuffle partitions,
+each sorted by bucket (and spilled if need be), so the number of shuffle blocks stays bounded. The starts are broadcast while they fit, else joined by a merge.
+A lost executor repeats its reducers; what is written is not made again, so shard and slot cannot change between uses.
 
-Defined cases: null text is empty; a null id is hashed like any value; repeated rows are kept as rows of their
-own; an empty table gives an empty result; extra columns (of types that can be ordered) travel with the record
-inside a struct, so their names cannot clash.
+Defined cases: null text is empty; null ids, repeated ids and repeated rows are rows of their own and spread like all others; an
+empty table gives an empty result; extra columns of any type travel with the record inside a struct, so their names cannot clash. The same files,
+seed and split sizes give the same shards.
 """
 
 from __future__ import annotations
@@ -21,51 +21,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blank
+from .common import BROADCAST_BYTES, blank, cut
 
 SHARDS = 24
-#: Bytes of a bucket that a task can hold as records.
-BUCKET_BYTES = 8 << 20
+#: Bytes and rows of a bucket that a task can hold as records.
+BUCKET_BYTES = 32 << 20
 BUCKET_ROWS = 200_000
-#: Beyond this many buckets they get larger instead, so the broadcast of their starts stays under 16 MB.
-BUCKETS_MOST = 1_000_000
+#: Shuffle partitions at most; beyond, each holds several buckets.
+REDUCERS = 16_384
 
 
 def two_pass_shuffle(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 17
 ) -> DataFrame:
     """Every record as struct ``record``, with shard int and slot long (gapless from 0)."""
+    # bytes of the text, and an allowance for the other columns
     sized = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(blank(text)) + F.lit(64)).alias("b")).first()
     total, size = int(sized["n"]), int(sized["b"] or 0)
-    buckets = min(BUCKETS_MOST, max(1, -(-size // BUCKET_BYTES), -(-total // BUCKET_ROWS)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int")
-    # where each bucket starts in the global order: one row a bucket
-    starts = (
-        docs.select(bucket.alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("start", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("bucket", F.coalesce("start", F.lit(0)).alias("start"))
-    )
-    records = docs.select(
-        bucket.alias("bucket"), F.col(key).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
-    )
-    placed = (
-        records.repartitionById(buckets, F.col("bucket"))
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("id", F.xxhash64("record").alias("tie"), "record"))).alias("all"))
-        .select("bucket", F.expr(f"shuffle(all, {seed}L)").alias("all"))
-        .select("bucket", F.posexplode("all").alias("at", "e"))
-    )
+    buckets = max(1, -(-size // BUCKET_BYTES), -(-total // BUCKET_ROWS))
+    # pass 1: small inputs still give every core some buckets
+    buckets = max(buckets, min(total // 1000 + 1, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    reducers = min(buckets, REDUCERS)
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = docs.select(record.alias("record"), F.monotonically_increasing_id().alias("place"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("place")), F.lit(buckets)).cast("int")
+    scattered = placed.withColumn("bucket", bucket).repartitionById(reducers, F.pmod("bucket", F.lit(reducers)).cast("int"))
+    # pass 2: records cannot be compared if they hold maps, so a bucket is put in order by place alone
+    held = scattered.groupBy("bucket").agg(F.collect_list(F.struct("place", "record")).alias("held"))
+    by_place = lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)
+    shuffled = held.select("bucket", F.array_sort("held", by_place).alias("held")).select("bucket", F.expr(f"shuffle(held, {seed}L)").alias("held"))
+    written = cut(shuffled.select("bucket", F.posexplode("held").alias("at", "e")).select("bucket", "at", "e.record"), "buckets")
+    counts = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    run = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # one row a bucket
+    starts = cut(counts.withColumn("start", run).select("bucket", F.coalesce("start", F.lit(0)).alias("start")), "starts")
+    starts = F.broadcast(starts) if buckets * 16 <= BROADCAST_BYTES else starts.hint("merge")
     base, more = divmod(total, shards)
     edge = more * (base + 1)
     pos = F.col("start") + F.col("at")
     first = pos < edge
     return (
-        placed.join(F.broadcast(starts), "bucket")
+        written.join(starts, "bucket")
         .withColumn("pos", pos)
         .select(
-            F.col("e.record").alias("record"),
+            "record",
             F.when(first, F.expr(f"pos div {base + 1}"))
             .otherwise(F.expr(f"{more} + (pos - {edge}) div {max(base, 1)}"))
             .cast("int")
