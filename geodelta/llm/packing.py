@@ -8,15 +8,16 @@ at most 1024 lengths with their runs of ranks, is broadcast; its size does not d
 
 Defined cases: null or empty text is one piece of the end token alone; repeated rows and repeated ids are
 pieces of their own; an empty table gives an empty result; extra columns are not carried. Texts of any length are
-tokenized whole.
+tokenized whole. The search's effort is bounded, so the number of sequences is near the least but not proven
+least; ``least_sequences`` is a proven lower bound to hold it against.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,16 @@ from .common import blank, cut, text_slices
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in a hash block at most, about.
-BLOCK = 20_000
+#: Pieces in a block of one length, about; and blocks whose counts are added up together.
+BLOCK, BLOCKS = 1000, 1000
 
 #: The vocabulary's added token; tokenizers gives it one id wherever it stands in a text.
 ADDED = {"<|endoftext|>": 50256}
+#: White space runs of this many characters are cut off before the pattern sees them, as its look-ahead gives up on runs of a million.
+RUN = 10_000
+# The characters of Unicode's White_Space, which the pattern calls \s.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_WHITE}]{{{RUN},}}")
 
 _encoders: dict[tuple[str, str], object] = {}
 
@@ -49,6 +55,26 @@ def encoder(ranks_path: str, pattern: str):
     return _encoders[ranks_path, pattern]
 
 
+def token_ids(coder, text: str, added: bool) -> list[int]:
+    """The ids of a whole text; ``added``: the added token's string is one id, as in the tokenizers library."""
+    if len(text) < RUN or not _LONG_RUN.search(text):
+        return coder.encode(text, allowed_special=set(ADDED), disallowed_special=()) if added else coder.encode_ordinary(text)
+    ids: list[int] = []
+    ((name, number),) = ADDED.items()
+    for k, part in enumerate(text.split(name) if added else [text]):
+        if k:
+            ids.append(number)
+        at = 0
+        for m in _LONG_RUN.finditer(part):
+            # the pattern takes the run but for the last character, which it leaves to the word behind; at the end, all of it
+            end = m.end() if m.end() == len(part) else m.end() - 1
+            ids += coder.encode_ordinary(part[at : m.start()])
+            ids += coder._encode_single_piece(part[m.start() : end])
+            at = end
+        ids += coder.encode_ordinary(part[at:])
+    return ids
+
+
 def cut_points(n: int, cap: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: full ones, but the first may be shorter."""
     first = n % cap or cap
@@ -61,11 +87,10 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks_path, pattern)
-        encode = partial(coder.encode, allowed_special=set(ADDED), disallowed_special=()) if added else coder.encode_ordinary
         for batch in text_slices(batches, "text", 2 << 20):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encode(text), END_ID], "<u4")
+                ids = np.array([*token_ids(coder, text, added), END_ID], "<u4")
                 for k, (start, length) in enumerate(cut_points(len(ids), cap)):
                     raw = ids[start : start + length].tobytes()
                     out.append((doc, k, start, length, zlib.crc32(raw), raw)[: 5 + with_ids])
@@ -94,26 +119,23 @@ def runs_of(plan: bins.Plan) -> dict[int, list[tuple[int, int, int, int, int]]]:
 
 
 def pack_pieces(cut_docs: DataFrame, cap: int = CAPACITY, nodes: int = bins.NODES) -> DataFrame:
-    """The written pieces with sequence_id and offset."""
+    """The written pieces with sequence_id and offset, and least_sequences: a proven lower bound on the number of sequences."""
     spark = cut_docs.sparkSession
     counts = {int(r[0]): int(r[1]) for r in cut_docs.groupBy("length").count().collect()}  # at most cap rows
     runs = runs_of(bins.pack(counts, cap, nodes))
-    rows = [(s, *run) for s, all_runs in runs.items() for run in all_runs]
-    plan = spark.createDataFrame(rows, "size long, low long, high long, times long, bin long, at long")
-    plan = plan.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("low", "high", "times", "bin", "at"))).alias("runs"))
-    blocks = max(1, -(-sum(counts.values()) // BLOCK))
-    blocked = cut_docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    rows = [(s, -(-counts[s] // BLOCK), [list(run) for run in all_runs]) for s, all_runs in runs.items()]
+    plan = spark.createDataFrame(rows, "size long, blocks long, runs array<struct<low:long,high:long,times:long,bin:long,at:long>>")
+    # a length's pieces fall into blocks of about BLOCK, so neither a common length nor the whole table is one group
+    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks"))
+    blocked = cut_docs.join(F.broadcast(plan.select("size", "blocks")), F.col("length") == F.col("size")).withColumn("block", block)
+    sizes = cut(blocked.groupBy("length", "block").count().withColumn("part", F.expr(f"block div {BLOCKS}")), "blocks")
+    # ranks before a block, in two steps: the blocks of its part, and the parts before
+    running = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("length", "part").agg(F.sum("count").alias("held")).withColumn("parts_before", running("held", "length", "part"))
     before = (
-        blocked.groupBy("length", "block")
-        .count()
-        .withColumn(
-            "before",
-            F.coalesce(
-                F.sum("count").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
-        .select("length", "block", "before")
+        sizes.withColumn("in_part", running("count", "length", "part", "block"))
+        .join(parts, ["length", "part"])
+        .select("length", "block", (F.col("in_part") + F.col("parts_before")).alias("before"))
     )
     ranked = blocked.withColumn(
         "row", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32"))
@@ -122,7 +144,7 @@ def pack_pieces(cut_docs: DataFrame, cap: int = CAPACITY, nodes: int = bins.NODE
     placed = (
         ranked.join(before, ["length", "block"])
         .withColumn("rank", rank)
-        .join(F.broadcast(plan), F.col("length") == F.col("size"))
+        .join(F.broadcast(plan.select("size", "runs")), "size")
         .withColumn("run", F.expr("filter(runs, r -> rank >= r.low and rank < r.high)[0]"))
     )
     step = F.col("rank") - F.col("run.low")
@@ -130,6 +152,7 @@ def pack_pieces(cut_docs: DataFrame, cap: int = CAPACITY, nodes: int = bins.NODE
         *cut_docs.columns,
         (F.col("run.bin") + F.floor(step / F.col("run.times"))).cast("long").alias("sequence_id"),
         (F.col("run.at") + (step % F.col("run.times")) * F.col("length")).cast("long").alias("offset"),
+        F.lit(bins.lower_bound(counts, cap) if counts else 0).cast("long").alias("least_sequences"),
     )
 
 
