@@ -3,13 +3,13 @@
 Categories are predicted one after another (first low quality, then toxic); each later model takes the earlier
 categories' log-odds as further features, and is trained with their out-of-fold predictions, so it sees at training the same kind of
 values as at scoring. The models are fitted on a bounded sample of labelled documents (``SAMPLE`` rows of least id hash,
-whole texts); all else reads all documents. Features are the presence of words, ASCII case folded and without outer
+whole texts, ``SAMPLE_BYTES`` of distinct words at most); all else reads all documents. Features are the presence of words, ASCII case folded and without outer
 punctuation, known by 64-bit codes; a category's words are those whose chi-square in the sample is over ``CHI2``, at most
 ``WORDS``, without words that only a group of near copies holds (unless there are no others). The
 threshold of the last is the one of the greatest F1 of its out-of-fold predictions. The models, a few hundred numbers, travel with the tasks; scoring is one pass without a shuffle.
 
 Defined cases: null or empty text has no words and gets the models' base rate; repeated rows are scored alike; null labels or
-labels of unknown documents are not used; with fewer than two classes in the sample a model gives the sample's rate; an empty
+labels of unknown documents are not used; labels of any whole-number type; with fewer than two classes in the sample a model gives the sample's rate; an empty
 table gives an empty result; extra columns are not carried by ``score``, and all are by ``keep_clean``.
 """
 
@@ -23,12 +23,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words as W
 from .common import blank, text_slices
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE, FOLDS, CHI2, WORDS, ALIKE, RIDGE = 8000, 5, 20.0, 200, 0.5, 0.2
+#: Bytes of the sample's distinct words (eight a word) at most; documents beyond, in the sample's order, are not fitted on.
+SAMPLE_BYTES = 64 << 20
 PUNCTUATION = ".,;:!?\"'()[]{}%&$#*|"
 
 
@@ -157,7 +160,9 @@ def chain_probabilities(chain: list[Linear], sets: list[np.ndarray]) -> np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear]:
     """The chain, from ``sample`` labelled documents at most."""
-    known = labels.select(F.col("doc_id").alias("of"), "quality", "toxic").dropna().dropDuplicates(["of"])
+    known = labels.select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    # an id labelled more than once counts as what any of its labels says, so the choice does not depend on their order
+    known = known.dropna().groupBy("of").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(5), "of")
     taken = known.orderBy(order, "of").limit(sample)
     # the sample is bounded, so its ids are broadcast and only its words come to the driver
@@ -172,7 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear
             )
 
     got = rows.select("doc_id", "quality", "toxic", "text").mapInArrow(run, "doc_id long, quality int, toxic int, codes binary")
-    got = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    # of several texts with one id one is taken; a running sum over the sample alone bounds the bytes
+    got = got.groupBy("doc_id").agg(F.min(F.struct("codes", "quality", "toxic")).alias("one")).select("doc_id", "one.*")
+    so_far = F.sum(F.octet_length("codes").cast("long")).over(Window.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id"))
+    got = got.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).drop("so_far").toArrow().sort_by("doc_id")
     _, first = np.unique(np.array([b.as_py() for b in got["codes"]], object), return_index=True) if len(got) else (0, [])
     got = got.take(np.sort(np.array(first, np.int64)))  # equal sets count once
     sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in got["codes"]]
@@ -180,32 +188,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear
     return fit_chain(sets, y)
 
 
-def _scored(docs: DataFrame, chain: list[Linear]) -> DataFrame:
-    """docs with p_low_quality and p_toxic added."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"p_{c}", T.DoubleType()) for c in CATEGORIES]])
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            p = chain_probabilities(chain, list(word_sets(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], *[pa.array(p[:, c]) for c in range(len(CATEGORIES))]],
-                [*names, *[f"p_{c}" for c in CATEGORIES]],
-            )
-
-    return docs.mapInArrow(run, schema)
+def _with_probabilities(chain: list[Linear], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in text_slices(batches, "text"):
+        yield batch, chain_probabilities(chain, list(word_sets(batch.column("text"))))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, p_low_quality, p_toxic, toxic."""
     chain = fit(docs, labels, sample)
-    out = _scored(docs.select("doc_id", "text"), chain)
-    return out.select("doc_id", *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= chain[-1].threshold).alias("toxic"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p in _with_probabilities(chain, batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(p[:, c]) for c in range(len(CATEGORIES))]], ["doc_id", *[f"p_{c}" for c in CATEGORIES]])
+
+    of = docs.select("doc_id", blank("text").alias("text"))
+    out = of.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
+    return out.withColumn("toxic", F.col("p_toxic") >= chain[-1].threshold)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the documents the chain calls toxic; all columns stay."""
+    """docs without the documents the chain calls toxic; all columns stay, whatever their names."""
     chain = fit(docs, labels, sample)
-    return _scored(docs, chain).filter(F.col("p_toxic") < chain[-1].threshold).select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p in _with_probabilities(chain, batches):
+            yield batch.filter(pa.array(p[:, -1] < chain[-1].threshold))
+
+    return docs.mapInArrow(run, docs.schema)
