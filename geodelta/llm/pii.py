@@ -72,7 +72,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     cards, ips = [], []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        # leading zeros first: a part may have any number of digits, a number to convert has three at most
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
             ips.append((1, *m.span()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
