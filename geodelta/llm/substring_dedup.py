@@ -16,7 +16,7 @@ No list of a code's places is ever collected. Texts are read again; only those o
 to meet their places (``split_by_keys``).
 
 Defined cases: null or empty text has no words; texts shorter than a window keep all; repeated rows, ids included, repeat
-each other's windows; a row without an id is known by its text's hash; a not null id belongs to one text; an
+each other's windows; a row without an id, or whose id another text has too, is known by a hash of id and text; an
 empty table gives an empty result; extra columns are not carried.
 """
 
@@ -190,17 +190,41 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, levels: tuple[int,
     return out
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, text: rows with equal ids and texts share a key, all others differ."""
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashed = F.xxhash64("doc_id", "text", F.lit(7))
+    prints = text.select("doc_id", hashed.alias("print")).groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high"))
+    # ids of several texts; null groups with null, so one null id alone needs no hash but its text
+    shared = cut(prints.filter("low != high or doc_id is null").select("doc_id"), "shared")
+    if not shared.limit(1).count():
+        return text.withColumn("row_key", F.col("doc_id"))
+    some, rest = split_by_keys(text, shared, "doc_id")
+    marked = shared.withColumn("of_several", F.lit(True)).withColumnRenamed("doc_id", "shared_id").hint("merge")
+    some = some.join(marked, some["doc_id"] == marked["shared_id"], "left")
+    alone = F.col("doc_id").isNotNull() & F.col("of_several").isNull()
+    return some.select("doc_id", "text", F.when(alone, F.col("doc_id")).otherwise(hashed).alias("row_key")).unionByName(
+        rest.withColumn("row_key", F.col("doc_id"))
+    )
+
+
+def _whole(rows: DataFrame, kept_text: bool) -> DataFrame:
+    """The result for texts that keep all their words, without Python."""
+    joined = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    out = rows.select("doc_id", joined.alias("kept_text"))
+    spaces = F.length("kept_text") - F.length(F.replace("kept_text", F.lit(" "), F.lit("")))
+    n = F.when(F.col("kept_text") == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+    out = out.select("doc_id", n.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
+    return out if kept_text else out.drop("kept_text")
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, levels: tuple[int, int] = LEVELS, kept_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; and kept_text if asked for."""
-    text_col = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64(text_col)).alias("row_key"), text_col.alias("text"))
+    keyed = keyed_rows(docs)
     places = repeated_windows(keyed, window, levels)
-    with_some, with_none = split_by_keys(keyed, places, "row_key")
-    empty = F.array().cast("array<int>")
-    some = with_some.join(places.hint("merge"), "row_key", "left").select(
-        "doc_id", "text", F.coalesce("places", empty).alias("places"), F.coalesce("sizes", empty).alias("sizes")
-    )
-    none = with_none.select("doc_id", "text", empty.alias("places"), empty.alias("sizes"))
+    maybe, with_none = split_by_keys(keyed, places, "row_key")
+    some = maybe.join(places.hint("merge"), "row_key").select("doc_id", "text", "places", "sizes")
+    others = maybe.join(places.select("row_key").hint("merge"), "row_key", "left_anti")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * kept_text
-    run = _last_level(window, kept_text)
-    return some.mapInArrow(run, schema).unionByName(none.mapInArrow(run, schema))
+    out = some.mapInArrow(_last_level(window, kept_text), schema)
+    return out.unionByName(_whole(others, kept_text)).unionByName(_whole(with_none, kept_text))
