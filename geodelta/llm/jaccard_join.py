@@ -15,9 +15,12 @@ An inverted list is not turned into all its pairs: each set first meets one list
 exactly; after that only lists that still hold several components go on, with new leaders while their pairs would be many; of
 the pairs left, all whose number of shared postings allows a link are verified. So no link between components is lost.
 
+Lists, leaders and components of very many rows are dealt over tasks or joined map-side (``heavy_join``, ``salted_join``).
+
 Defined cases: null, empty or blank text has an empty set, linked with nothing, and is its own component; texts of fewer
-words than a shingle are one shingle; repeated rows are one class; rows without doc_id take no part (component null); a
-doc_id belongs to one text; an empty table gives an empty result; extra columns are not carried.
+words than a shingle are one shingle; repeated rows are one class; rows without doc_id take no part (component null);
+rows that share an id but not their set are documents of their own, each with the component of its text; an empty table gives an empty result; extra
+columns are not carried by ``jaccard_components`` and all are by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
-from .common import cut, heavy_join, remove, split_by_keys, text_slices
+from .common import cut, free_name, heavy_join, remove, salted_join, split_by_keys, text_slices
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -44,6 +48,8 @@ LIGHT_MOST = 24
 COUNTER_BITS, CHUNK = 20, 1 << 14
 #: Pairs of places in lists that may be compared, for each posting, without another leader round.
 COMPARED = 64
+#: Pairs of places in one list that one task compares, about.
+TASK_PAIRS = 1 << 24
 #: Leader rounds at most before all pairs that are left are verified.
 ROUNDS = 6
 
@@ -75,6 +81,11 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _prints(codes: np.ndarray) -> tuple[int, int]:
+    """A 128-bit print of a set."""
+    return W.mix(codes).sum(dtype=np.uint64), W.mix(codes ^ _SALT).sum(dtype=np.uint64)
+
+
 def _census(shingle: int):
     """A row a document (size and 128-bit print of its set); and the partition's counts of shingles, in chunks."""
 
@@ -85,8 +96,8 @@ def _census(shingle: int):
             size, a, b, all_codes = [], [], [], []
             for codes in shingle_sets(batch.column("text"), shingle):
                 size.append(len(codes))
-                a.append(W.mix(codes).sum(dtype=np.uint64))
-                b.append(W.mix(codes ^ _SALT).sum(dtype=np.uint64))
+                for prints, value in zip((a, b), _prints(codes)):
+                    prints.append(value)
                 all_codes.append(codes >> np.uint64(64 - COUNTER_BITS))
             rows = len(size)
             seen, times = np.unique(np.concatenate(all_codes).astype(np.int32), return_counts=True)
@@ -178,7 +189,7 @@ def _entries(shingle: int, percent: int, x: int, common: np.ndarray):
         names = ["low", "high", "code", "node", "n", "known", "at"]
         for batch in text_slices(batches, "text"):
             light, parts, sizes, docs, known = [], [], [], [], []
-            for doc, codes in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), shingle)):
+            for doc, codes in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), shingle)):
                 n = len(codes)
                 if 0 < n <= x:
                     mixed = [int(v) for v in W.mix(codes)]
@@ -245,7 +256,7 @@ def _sets(shingle: int):
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["node", "codes"]
+                [batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["node", "codes"]
             )
 
     return run
@@ -268,11 +279,13 @@ def _linked(percent: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The written pairs (a, b) whose whole sets link; a written table. Only the pairs' texts are read into sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    members, _ = split_by_keys(docs, nodes, "doc_id")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members, _ = split_by_keys(docs, nodes, "node")
     sets = cut(members.mapInArrow(_sets(shingle), "node long, codes array<long>"), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b")
+    # a node may be in a large part of all pairs, as leaders are
+    total = pairs.count()
+    left = salted_join(pairs, sets.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a", "b", pairs, total)
+    both = salted_join(left, sets.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b", "a", pairs, total)
     out = cut(both.select("a", "b", "left", "right").mapInArrow(_linked(percent), "a long, b long"), "links")
     remove(sets)
     return out
@@ -330,7 +343,14 @@ def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int,
                 F.count(F.lit(1)).alias("held"),
             )
             .filter("held > 1")
-            .select("code", "k", "within", F.col("main.component").alias("main"), F.col("first.of").alias("first")),
+            .select(
+                "code",
+                "k",
+                "within",
+                F.col("main.component").alias("main"),
+                F.col("first.of").alias("first"),
+                F.ceil(F.col("k") * (F.col("k") - F.col("main.k")) / TASK_PAIRS).cast("int").alias("parts"),
+            ),
             "open",
         )
         size = open_lists.agg(F.sum((F.col("k") * F.col("k") - F.col("within")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
@@ -340,13 +360,16 @@ def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int,
         rows = heavy_join(placed, open_lists, ["code"], total, "k")
         if last:
             # in each list only sets outside its largest component are paired, with sets of other components
-            held = cut(rows.select("code", "node", "n", "at", "component", "main"), "rows")
-            outside = held.filter("component != main").select("code", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "component")])
+            # a list of many such sets is dealt over parts: each set to one of them, those outside to all
+            held = cut(rows.select("code", "node", "n", "at", "component", "main", "parts"), "rows")
+            others = [F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "component")]
+            outside = held.filter("component != main").select("code", *others, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            held = held.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), "parts").cast("int"))
             # a pair of sizes that must share c shingles shares r of its first n - c + r and m - c + r, for any r
             c = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
             r = SHARED + F.floor((c - F.ceil(F.greatest("n", "n_b") * percent / 100)) / 3)
             chosen = (
-                held.join(outside, "code")
+                held.join(outside, ["code", "part"])
                 .filter("component != component_b and (component = main or node < node_b)")
                 .filter(near(F.col("n"), F.col("n_b")))
                 .filter((F.col("at") < F.col("n") - c + r) & (F.col("at_b") < F.col("n_b") - c + r))
@@ -375,36 +398,117 @@ def heavy_links(docs: DataFrame, entries: DataFrame, shingle: int, percent: int,
     return links
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (least doc_id reachable by links), class_id."""
+def _print_columns(shingle: int, names: list[str], text: str):
+    """The rows of docs with their sets' prints after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text):
+            prints = [_prints(codes) for codes in shingle_sets(batch.column(text), shingle)]
+            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*prints)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+
+    return run
+
+
+def with_nodes(docs: DataFrame, several: DataFrame | None, name: str, shingle: int) -> DataFrame:
+    """docs with their node: the doc_id, or for ids of ``several`` sets a hash of id and print."""
+    if several is None:
+        return docs.withColumn(name, F.col("doc_id"))
+    maybe, rest = split_by_keys(docs, several, "doc_id")
+    ids = several.select(F.col("doc_id").alias("several_id")).hint("merge")
+    same = maybe["doc_id"] == ids["several_id"]
+    a, b = free_name(docs, "print_a"), free_name(docs, "print_b")
+    schema = T.StructType([*docs.schema.fields, T.StructField(a, T.LongType()), T.StructField(b, T.LongType())])
+    marked = maybe.join(ids, same, "left_semi").mapInArrow(_print_columns(shingle, schema.names, "text"), schema)
+    marked = marked.withColumn(name, node_hash(a, b)).drop(a, b)
+    return marked.unionByName(maybe.join(ids, same, "left_anti").unionByName(rest).withColumn(name, F.col("doc_id")))
+
+
+def node_hash(a: str, b: str) -> Column:
+    return F.xxhash64("doc_id", a, b, F.lit(29))
+
+
+def linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Per row (doc_id, node, n, class_id, component_id, keep_node), rows that take no part, and the ids of several sets.
+
+    keep_node is the node of the component's least doc_id."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, n long, print_a long, print_b long, chunk int, counts binary"
     census = cut(text.mapInArrow(_census(shingle), schema), "census")
     sized = census.filter("chunk is null").drop("chunk", "counts")
     counts = census.filter("chunk is not null").select("chunk", "counts")
-    real = sized.filter("n > 0 and doc_id is not null")
     prints = ["n", "print_a", "print_b"]
-    classes = cut(real.groupBy(*prints).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("k")), "classes")
+    extremes = sized.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*prints)).alias("low"), F.max(F.struct(*prints)).alias("high"))
+    several: DataFrame | None = cut(extremes.filter("low != high").select("doc_id"), "several")
+    if several.limit(1).count() == 0:
+        several = None
+        noded = sized.withColumn("node", F.col("doc_id"))
+    else:
+        maybe, rest = split_by_keys(sized, several, "doc_id")
+        found = maybe.join(several.withColumn("many", F.lit(True)).hint("merge"), "doc_id", "left")
+        node = F.when(F.col("many"), node_hash("print_a", "print_b")).otherwise(F.col("doc_id"))
+        noded = found.withColumn("node", node).drop("many").unionByName(rest.withColumn("node", F.col("doc_id")))
+    real = noded.filter("n > 0 and doc_id is not null")
+    first = F.min(F.struct("doc_id", "node"))
+    classes = cut(real.groupBy(*prints).agg(first.alias("first"), F.count(F.lit(1)).alias("k")), "classes")
     sums = real.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).first()
-    member = cut(heavy_join(real, classes, prints, sums["docs"], "k").select("doc_id", "n", "class_id"), "members")
-    # the texts of classes' first members: others are dropped by their ids, of which few are shuffled
-    copies = cut(member.filter("doc_id != class_id").select("doc_id").distinct(), "copies")
-    maybe, single = split_by_keys(text.filter("doc_id is not null"), copies, "doc_id")
-    first = maybe.join(copies.hint("merge"), "doc_id", "left_anti").unionByName(single)
+    joined = heavy_join(real, classes, prints, sums["docs"], "k")
+    member = cut(joined.select("doc_id", "node", "n", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node")), "members")
+    # the texts of classes' first members: others are dropped by their nodes, of which few are shuffled
+    copies = cut(member.filter("node != class_node").select("node").distinct(), "copies")
+    texts = with_nodes(text.filter("doc_id is not null"), several, "node", shingle).select("node", "text")
+    maybe, single = split_by_keys(texts, copies, "node")
+    firsts = maybe.join(copies.hint("merge"), "node", "left_anti").unionByName(single)
 
     small = classes.filter(F.col("n") <= 2 * LIGHT_MOST).groupBy("n").count().collect()  # at most 48 rows
     x = boundary({int(r["n"]): int(r["count"]) for r in small}, percent)
     mean = int(sums["shingles"] or 0) >> COUNTER_BITS
     common = _common(counts, 2 * mean + max(32, sums["docs"] // 1000))
-    both = entries(first, shingle, percent, x, common)
-    links = heavy_links(first, both, shingle, percent, cut(light_links(both), "links"))
-    found = components(links).withColumnRenamed("node", "class_id")
-    rest = sized.filter("n = 0 or doc_id is null").select(
-        "doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component")
-    )
-    return (
-        member.join(found, "class_id", "left")
-        .select("doc_id", "n", "class_id", F.coalesce("component", "class_id").alias("component"))
-        .unionByName(rest)
-        .select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_id")
+    both = entries(firsts, shingle, percent, x, common)
+    links = heavy_links(firsts, both, shingle, percent, cut(light_links(both), "links"))
+    found = components(links)
+    if several is None:
+        keepers = found.select(F.col("node").alias("class_node"), F.col("component").alias("component_id"), F.col("component").alias("keep_node"))
+    else:  # hashes stand for some nodes, so the least doc_id of each component is looked up
+        named = found.join(classes.select("first.node", F.col("first.doc_id").alias("doc_id")), "node")
+        least = cut(named.groupBy("component").agg(first.alias("least"), F.count(F.lit(1)).alias("k")), "least")
+        keepers = heavy_join(found, least, ["component"], sums["docs"], "k").select(
+            F.col("node").alias("class_node"), F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("keep_node")
+        )
+    rows = member.join(keepers, "class_node", "left").select(
+        "doc_id",
+        "node",
+        "n",
+        "class_id",
+        F.coalesce("component_id", "class_id").alias("component_id"),
+        F.coalesce("keep_node", "class_node").alias("keep_node"),
     )
+    return rows, sized.filter("n = 0 or doc_id is null").select("doc_id", "n"), several
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (least doc_id reachable by links), class_id."""
+    rows, rest, _ = linked(docs, shingle, percent)
+    rest = rest.select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    out = rows.select("doc_id", "n", "class_id", "component_id").unionByName(rest)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id; of repeated rows one. All columns stay; rows that take no part stay."""
+    rows, _, several = linked(docs, shingle, percent)
+    rows = cut(rows.groupBy("node").agg(F.first("keep_node").alias("keep_node"), F.count(F.lit(1)).alias("k")), "rows")
+    name = free_name(docs, "node")
+    noded = with_nodes(docs, several, name, shingle)
+    gone = rows.filter("node != keep_node").select(F.col("node").alias("gone_node"))
+    maybe, stay = split_by_keys(noded, gone.select(F.col("gone_node").alias(name)), name)
+    gone = gone.hint("merge")
+    kept = maybe.join(gone, maybe[name] == gone["gone_node"], "left_anti").unionByName(stay)
+    repeated = rows.filter("node = keep_node and k > 1").select(F.col("node").alias("repeated_node"))
+    if repeated.limit(1).count():
+        maybe, single = split_by_keys(kept, repeated.select(F.col("repeated_node").alias(name)), name)
+        repeated = repeated.hint("merge")
+        same = maybe[name] == repeated["repeated_node"]
+        several_rows = maybe.join(repeated, same, "left_semi").dropDuplicates([name])
+        kept = several_rows.unionByName(maybe.join(repeated, same, "left_anti")).unionByName(single)
+    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])

@@ -69,7 +69,7 @@ def test_light_alone_finds_all(spark):
             ws = list(base)
             ws[rng.choice([0, -1])] = rng.choice(WORDS)
             rows.append((len(rows), " ".join(ws[: rng.randint(len(ws) - 1, len(ws))])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "node long, text string")
     links = jaccard_join.light_links(jaccard_join.entries(docs, 4, 85, 12, np.zeros(1 << 20, np.uint8)))
     got = {r["node"]: r["component"] for r in components(links).collect()}
     want = {i: c for i, _, c in brute(rows)}
