@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geodelta.llm import exact_dedup, jaccard_join, packing, pii, toxicity
-from geodelta.llm.common import bound_batches, cut, read_table, split_by_keys
+from geodelta.llm.common import bound_batches, cut, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a Jaccard similarity of 0.8 or more over five-word shingles the one with the least doc_id stays."""
     bound_batches(spark)
-    found = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
-    gone = cut(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    maybe, stay = split_by_keys(docs, gone, "doc_id")
-    return maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(stay)
+    return jaccard_join.keep_one(docs, shingle=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
