@@ -59,7 +59,6 @@ def truth(ids, x, q, top):
 
 def test_recall_and_order(spark, monkeypatch):
     monkeypatch.setattr(permutation_index, "SHARD", 1500)
-    monkeypatch.setattr(permutation_index, "LEAST", 100)
     x = vectors(4000)
     x[100:160] = x[99]
     ids = np.arange(4000)
@@ -147,20 +146,67 @@ def test_repeated_notice_is_whole(spark):
     assert len(distinct) > 2000 and any(kind == 1 for _, (kind, _, _) in license_scan.units_of(runs, starts, template, held))
 
 
-def test_queries_meet_shards_in_blocks(spark, monkeypatch):
-    """No task holds more than about a block of queries, and all queries meet all vectors."""
-    monkeypatch.setattr(permutation_index, "SHARD", 300)
+def test_queries_meet_their_shards_in_blocks(spark, monkeypatch):
+    """No task holds more than about a shard and a block; a vector lies in one shard; a very common vector is dealt into parts."""
+    monkeypatch.setattr(permutation_index, "SHARD", 100)
+    monkeypatch.setattr(permutation_index, "BLOCK", 50)
     x = vectors(900)
+    x[300:600] = x[300]
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id long, embedding array<float>")
     search = permutation_index.search_shard
 
-    def bounded(ids, vectors, q_ids, *rest):
-        assert len(q_ids) <= 450, len(q_ids)
-        return search(ids, vectors, q_ids, *rest)
+    def bounded(ids, vectors, order, q_ids, *rest):
+        assert len(ids) <= 150 and len(q_ids) <= 110, (len(ids), len(q_ids))
+        return search(ids, vectors, order, q_ids, *rest)
 
     monkeypatch.setattr(permutation_index, "search_shard", bounded)
     got = {}
     for r in permutation_index.nearest(df, df).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
-    assert len(got) == 900
-    assert all([v for _, v in sorted(got[q])] == [v for v, _ in truth(np.arange(900), x, q, 20)] for q in (0, 77, 899))
+    assert len(got) == 900 and all(len(g) == 20 == len({v for _, v in g}) for g in got.values())
+    hits = [len({v for _, v in got[q]} & {v for v, _ in truth(np.arange(900), x, q, 20)}) for q in range(0, 900, 9) if not 300 <= q < 600]
+    assert np.mean(hits) / 20 > 0.9
+
+
+def test_original_vectors_are_measured(spark):
+    """Doubles stay doubles, great and small ones included, and norms may differ widely."""
+    rows = [(0, [0.1, 0.7]), (1, [0.3, 0.2]), (2, [1e39, 1.0]), (3, [1e-50, 1e-50]), (4, [-1.0, 1e300]), (5, [1.0, 2.0, 3.0]), (7, [3.0, 2.0, 1.0]), (9, [0.3, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in permutation_index.nearest(df, df).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    same = [(i, v) for i, v in rows if len(v) == 2]
+    for q, v in same:
+        want = sorted(((i, sum(a * b for a, b in zip(v, w))) for i, w in same if i != q), key=lambda x: (-x[1], x[0]))
+        assert got[q] == want
+    assert got[5] == [(7, 10.0)] and got[7] == [(5, 10.0)]
+
+
+def test_norms_of_all_sizes(spark):
+    """Largest inner product, not least angle: the long vectors win."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)) * np.exp(rng.normal(size=(3000, 1)))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(3000)], "vec_id long, embedding array<double>")
+    hits = []
+    got = {}
+    for r in permutation_index.search_every(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in got:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-s)[:20].tolist())))
+    assert np.mean(hits) / 20 > 0.9
+
+
+def test_shards_are_bounded():
+    rng = np.random.default_rng(2)
+    pivots = rng.normal(size=(64, 5))
+    counts = rng.integers(0, 50, 64)
+    counts[7] = 1000
+    first, parts = permutation_index.shards_of(pivots, counts, 100)
+    held = {}
+    for s, p, c in zip(first.tolist(), parts.tolist(), counts.tolist()):
+        held.setdefault(s, []).append(c / p)
+    assert max(map(sum, held.values())) <= 100 and parts[7] == 10
+    used = sorted(s + j for s, p in {(s, p) for s, p in zip(first.tolist(), parts.tolist())} for j in range(p))
+    assert used == list(range(len(used)))
