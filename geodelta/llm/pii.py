@@ -1,15 +1,16 @@
 """Personal data by weak supervision: labelers vote, expectation-maximisation weighs them, a classifier decides.
 
-Base spans (email, ip, card, phone) come from fixed patterns and always stay. Candidates for further spans of kind ``secret`` are runs of at
-least 16 letters and digits with both, or of 12 or more digits, outside base spans. Three groups of labelers
-vote on each candidate for, against or not at all: regex (shape: hex run, mixed run, digits only), gazetteer (a name for
-credentials or accounts stands before it) and context (assignment and quotes around it). Their votes and a few features of
-the span make a pattern; patterns are few (under 2^13), and their counts over all documents are all that the driver reads.
-Expectation-maximisation (Dawid and Skene, two classes) estimates the labelers' reliabilities and each pattern's posterior from the
+Base spans (email, ip, card, phone) come from fixed patterns and always stay. Candidates for further spans, outside base spans and each
+other, are of three kinds. ``iban``: a country and two digits, then groups of four. ``secret``: runs of letters and digits, also with single -, _, / or + between, of
+16 characters or more with a part that has both, or of 12 or more digits alone. ``name``: a title or a given name of the gazetteer with a capitalised word. Three groups of
+labelers vote on each candidate for, against or not at all: regex (shape: hex run, mixed run, checksum, capitals), gazetteer (countries, titles, given names, names that stand
+before credentials or accounts) and context (assignment, quotes, what stands around). Their votes and a few features of
+the span make a pattern; patterns are few (under 3 * 2^12), and their counts over all documents are all that the driver reads.
+For each kind, expectation-maximisation (Dawid and Skene, two classes) estimates the labelers' reliabilities and each pattern's posterior from the
 counts; a logistic span classifier is trained on the features with these posteriors, and decides.
 
 Defined cases: null or empty text has no spans; repeated rows are treated alike; spans never overlap base spans; an empty
-table gives an empty result, and with no candidate no span is added; extra columns are not carried by ``spans`` and all are by
+table gives an empty result, and with no candidate of a kind no span of it is added; extra columns are not carried by ``spans`` and all are by
 ``redact``. Whole texts are searched, in time linear in their length.
 """
 
@@ -26,18 +27,35 @@ from pyspark.sql import functions as F
 
 from .common import blank, cut, text_slices
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "name")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{12,}")
-#: Names that stand before credentials and account numbers.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{12})[_/+-]*([A-Za-z0-9]+(?:[-_/+][A-Za-z0-9]+)*)")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Names that stand before credentials and account numbers.
 GAZETTEER = frozenset(
-    "account apikey auth bearer card credential iban id key passphrase passwd password pin pwd secret token user username".split()
+    "account apikey auth bearer card credential iban id key konto passphrase passwd password pin pwd secret token user username".split()
 )
+# Countries of account numbers, titles, and given names.
+COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split())
+TITLES = "Dr Frau Herr Madame Miss Mme Monsieur Mr Mrs Ms Prof Señor Señora Sr Sra".split()
+GIVEN = (
+    "Alice Andreas Anna Antonio Barbara Carlos Carmen Charles Christine Christopher Claire Daniel David Elena Elizabeth Emily Emma Eva Francisco Hans Helen "
+    "Isabel Isabelle Jacques James Javier Jean Jennifer Jessica Johannes John José Juan Julia Karen Karl Katharina Klaus Laura Linda Lucas Lukas Manuel Marco Maria "
+    "María Marie Mark Martin Mary Matthew Michael Michel Monika Nancy Nicolas Pablo Patricia Paul Pedro Peter Philippe Pierre Richard Robert Sabine Sandra Sarah Sophie Stefan "
+    "Steven Susan Thomas Ursula William Wolfgang"
+).split()
+_CAPITAL = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+_NAME = re.compile(
+    rf"\b(?:(?:{'|'.join(TITLES)})\.?\x20{_CAPITAL}(?:[\x20-]{_CAPITAL})?|(?:{'|'.join(GIVEN)})\x20{_CAPITAL}(?:-{_CAPITAL})?)\b"
+)
+_BEFORE_NAME = re.compile(r"(?:author|by|contact|dear|from|name|regards|signed)[:,]?\s*\Z", re.IGNORECASE)
 _NAME_BEFORE = re.compile(r"([A-Za-z_]+)[\x20\t]*[=:]?[\x20\t]*[\"']?\Z")
+#: Numbers of patterns of a kind are so many.
+OF_KIND = 3**5 * 2**4
 #: Votes are 0 against, 1 for, 2 none.
 LABELERS = 5
 FEATURES = 4
@@ -87,30 +105,75 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + ips + cards + phones
 
 
+def _named(before: str) -> bool:
+    """Does a name for credentials or accounts end the text before a span?"""
+    name = _NAME_BEFORE.search(before)
+    return bool(name and GAZETTEER.intersection(name.group(1).lower().split("_")))
+
+
+def _assigned(before: str) -> bool:
+    return re.search(r"[=:][\x20\t]*[\"']?\Z", before) is not None
+
+
+def _code(kind: int, votes: list[int], features: list[bool]) -> int:
+    code = kind
+    for v in votes:
+        code = code * 3 + v
+    for f in features:
+        code = code * 2 + f
+    return code
+
+
 def pattern_of(text: str, a: int, b: int) -> int:
-    """The labelers' votes (base 3) and the span's features (bits) as one number."""
+    """A secret's votes (base 3) and features (bits) as one number."""
     run = text[a:b]
     digits = sum(c in "0123456789" for c in run)
     hexes = digits + sum(c in "abcdefABCDEF" for c in run)
     before = text[max(0, a - 40) : a]
-    name = _NAME_BEFORE.search(before)
-    names = name.group(1).lower().split("_") if name else []
     quoted = text[a - 1 : a] in ('"', "'") and text[b : b + 1] == text[a - 1 : a]
-    assigned = re.search(r"[=:][\x20\t]*[\"']?\Z", before) is not None
+    assigned = _assigned(before)
     votes = [
         1 if hexes == len(run) and digits < len(run) and len(run) >= 32 else 2 if digits == len(run) else 0,  # regex: hex run
         1 if 0 < digits < len(run) else 0 if digits == 0 else 2,  # regex: letters and digits
-        1 if GAZETTEER.intersection(names) else 0,  # gazetteer
+        1 if _named(before) else 0,  # gazetteer
         1 if assigned else 0,  # context: assignment
         1 if quoted else 2 if assigned else 0,  # context: quotes
     ]
-    features = [len(run) >= 24, hexes == len(run), digits == len(run), len(set(run.lower())) >= 8]
-    code = 0
-    for v in votes:
-        code = code * 3 + v
-    for f in features:
-        code = code * 2 + f
-    return code
+    return _code(0, votes, [len(run) >= 24, hexes == len(run), digits == len(run), len(set(run.lower())) >= 8])
+
+
+def iban_checks(run: str) -> bool:
+    """The checksum of an account number: its rearranged digits leave 1 over 97."""
+    plain = run.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def iban_pattern(text: str, a: int, b: int) -> int:
+    run, before = text[a:b], text[max(0, a - 40) : a]
+    checks, known = iban_checks(run), run[:2] in COUNTRIES
+    votes = [
+        1 if checks else 0,  # regex: checksum
+        1 if run[4:5] == " " and " " in run[9:10] else 2,  # regex: groups of four
+        1 if known else 0,  # gazetteer: country
+        1 if _named(before) else 2,  # gazetteer: a name before
+        1 if _assigned(before) else 2,  # context
+    ]
+    return _code(1, votes, [checks, known, len(run) >= 18, sum(c.isdigit() for c in run) * 2 >= len(run)])
+
+
+def name_pattern(text: str, a: int, b: int) -> int:
+    parts = text[a:b].replace(".", "").split()
+    title, given = parts[0] in TITLES, parts[0] in GIVEN or parts[1] in GIVEN
+    near = _BEFORE_NAME.search(text[max(0, a - 20) : a]) is not None
+    behind = text[b : b + 40]
+    votes = [
+        1 if len(parts) >= 2 else 0,  # regex: capitalised words
+        1 if title else 2,  # gazetteer: title
+        1 if given else 2,  # gazetteer: given name
+        1 if near else 2,  # context: before
+        1 if "@" in behind or "+" in behind else 2,  # context: an address or number behind
+    ]
+    return _code(2, votes, [title, given, near, len(parts) >= 3])
 
 
 def votes_of(code: int) -> tuple[list[int], list[int]]:
@@ -124,20 +187,40 @@ def votes_of(code: int) -> tuple[list[int], list[int]]:
     return votes[::-1], features[::-1]
 
 
+def _is_secret(run: str) -> bool:
+    """A part of letters and digits in a run of 16 or more, three parts of hex digits, or 12 digits alone."""
+    if run.isdigit():
+        return len(run) >= 12
+    if len(run) < 16 or not any(c in "0123456789" for c in run):
+        return False
+    parts = re.split("[-_/+]", run)
+    if len(parts) == 1:
+        return True
+    mixed = [p for p in parts if len(p) >= 4 and any(c.isdigit() for c in p) and any(c.isalpha() for c in p)]
+    return sum(map(len, mixed)) * 3 >= len(run) or len(parts) >= 3 and all(re.fullmatch("[0-9a-fA-F]{4,}", p) for p in parts)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(start, end, pattern) of runs outside base spans."""
-    held = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in held]
-    ends = np.maximum.accumulate([b for _, b in held]).tolist() if held else []
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        run = m.group()
-        digits = any(c in "0123456789" for c in run)
-        if not (digits and (b - a >= 16 or run.isdigit())):
-            continue
-        k = bisect_right(starts, b - 1)
-        if not (k and ends[k - 1] > a):
-            yield a, b, pattern_of(text, a, b)
+    """(start, end, pattern) of candidates outside base spans and earlier kinds' candidates, by kind and start."""
+    taken = [(a, b) for _, a, b in base]
+
+    def outside(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        held = sorted(taken)
+        starts, ends = [a for a, _ in held], np.maximum.accumulate([b for _, b in held]).tolist() if held else []
+        kept = []
+        for a, b in found:
+            k = bisect_right(starts, b - 1)
+            if not (k and ends[k - 1] > a):
+                kept.append((a, b))
+        taken.extend(kept)
+        return kept
+
+    ibans = outside([m.span() for m in _IBAN.finditer(text) if m.group()[:2] in COUNTRIES or iban_checks(m.group())])
+    secrets = outside([m.span(1) for m in _SECRET.finditer(text) if _is_secret(m.group(1))])
+    names = outside([m.span() for m in _NAME.finditer(text)])
+    for spans_of, pattern in ((secrets, pattern_of), (ibans, iban_pattern), (names, name_pattern)):
+        for a, b in spans_of:
+            yield a, b, pattern(text, a, b)
 
 
 def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
@@ -179,11 +262,13 @@ def span_classifier(counts: dict[int, int], posterior: dict[int, float], steps:
 
 
 def accepted(counts: dict[int, int]) -> list[int]:
-    """Patterns whose spans are added."""
-    if not counts:
-        return []
-    p = span_classifier(counts, expectation_maximisation(counts))
-    return sorted(c for c, v in p.items() if v >= 0.5)
+    """Patterns whose spans are added, each kind by its own model."""
+    out: list[int] = []
+    for kind in {c // OF_KIND for c in counts}:
+        some = {c: n for c, n in counts.items() if c // OF_KIND == kind}
+        p = span_classifier(some, expectation_maximisation(some))
+        out += [c for c, v in p.items() if v >= 0.5]
+    return sorted(out)
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -195,7 +280,7 @@ def found(docs: DataFrame) -> DataFrame:
             out = []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
-                more = [{"kind": 4, "a": a, "b": b, "pattern": c} for a, b, c in candidates(text, base)]
+                more = [{"kind": 4 + c // OF_KIND, "a": a, "b": b, "pattern": c} for a, b, c in candidates(text, base)]
                 out.append([{"kind": k, "a": a, "b": b, "pattern": -1} for k, a, b in base] + more)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "found"])
 
@@ -205,12 +290,12 @@ def found(docs: DataFrame) -> DataFrame:
 
 def fit(table: DataFrame) -> list[int]:
     """Accepted patterns, from the counts of all candidates of ``found``."""
-    counted = table.select(F.explode("found").alias("s")).filter("s.kind = 4").groupBy("s.pattern").count()
-    return accepted({int(r[0]): int(r[1]) for r in counted.collect()})  # under 2^13 patterns
+    counted = table.select(F.explode("found").alias("s")).filter("s.kind >= 4").groupBy("s.pattern").count()
+    return accepted({int(r[0]): int(r[1]) for r in counted.collect()})  # under 3 * 2^12 patterns
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_spans."""
     table = cut(found(docs), "spans")
     good = F.array(*[F.lit(c) for c in fit(table)]).cast("array<int>")
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -224,6 +309,7 @@ def spans(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.transform(base, shown), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform(kept, shown), ",").alias("spans"),
         (F.size(kept) - F.size(base)).cast("long").alias("n_added"),
+        F.size(kept).cast("long").alias("n_spans"),
     )
 
 
@@ -239,7 +325,7 @@ def mask(text: str, marks: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with all spans masked in ``text``; null stays null. All columns stay."""
-    counts = found(docs).select(F.explode("found").alias("s")).filter("s.kind = 4").groupBy("s.pattern").count()
+    counts = found(docs).select(F.explode("found").alias("s")).filter("s.kind >= 4").groupBy("s.pattern").count()
     good = set(accepted({int(r[0]): int(r[1]) for r in counts.collect()}))
     names = docs.columns
 
@@ -249,7 +335,7 @@ def redact(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
-                    text = mask(text, base + [(4, a, b) for a, b, c in candidates(text, base) if c in good])
+                    text = mask(text, base + [(4 + c // OF_KIND, a, b) for a, b, c in candidates(text, base) if c in good])
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)

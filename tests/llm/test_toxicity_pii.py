@@ -86,6 +86,37 @@ def test_patterns_round_trip_and_em():
     assert right / 4000 > 0.93
 
 
+def test_further_kinds(spark):
+    """Keys with separators, account numbers and names are found among prose; prose with such signs is not."""
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        return next(f"DE{k:02d}{body}" for k in range(100) if pii.iban_checks(f"DE{k:02d}{body}"))
+
+    rows = []
+    for i in range(60):
+        whole = iban()
+        shown = whole if i % 2 else " ".join(whole[k : k + 4] for k in range(0, 22, 4))
+        secret = f"{key(3)}1{key(4)}-{key(3)}9{key(4)}_{key(3)}7{key(4)}"
+        who = ["Dr. Weber", "Anna Schmidt", "Señora García", "James Miller-Jones"][i % 4]
+        rows.append((i, f'sent by {who}, IBAN: {shown}; api_key="{secret}" and that is well-known/understood since 2019-2020'))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.spans(docs).collect():
+        text = rows[r["doc_id"]][1]
+        got = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in r["spans"].split(","))]
+        assert [k for k, _ in got] == ["secret", "iban", "name"] and r["n_added"] == r["n_spans"] == 3
+        assert got[0][1] == text.split('"')[1] and got[1][1] == text.split("IBAN: ")[1].split(";")[0] and got[2][1] == text[8 : text.index(",")]
+
+
+def test_long_number_parts():
+    """Parts of any number of digits: leading zeros do not count, other long parts fail."""
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}1.2.3.4") == [(1, 0, 6007)]
+    assert pii.base_spans(f"{'1' * 6000}.2.3.4 0.0.0.{zeros}") == [(1, 6007, 6013 + 6000)]
+
+
 def test_redact(spark):
     docs = odd_docs(spark)
     out = pii.redact(docs)
@@ -115,8 +146,8 @@ def toxic_rows(n, seed=3):
 
 def test_chain_on_held_out(spark):
     rows, labels = toxic_rows(900)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, codes string, p int")
-    known = spark.createDataFrame([x for x in labels if x[0] < 500] + [(1, None, 1), (10**6, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p_toxic string, quality int")
+    known = spark.createDataFrame([x for x in labels if x[0] < 500] + [(1, None, 1), (10**6, 1, 1)], "doc_id long, quality long, toxic long")
     out = {r["doc_id"]: r for r in toxicity.score(docs, known).collect()}
     truth = {i: t for i, _, t in labels}
     held = [i for i in truth if i >= 500]
