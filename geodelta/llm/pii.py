@@ -39,6 +39,8 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 GAZETTEER = frozenset(
     "account apikey auth bearer card credential iban id key konto passphrase passwd password pin pwd secret token user username".split()
 )
+# What published kinds of keys begin with.
+PREFIXES = ("AIza", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "npm_", "pk_live_", "rk_live_", "sk-", "sk_live_", "xoxb-", "xoxp-")
 # Countries of account numbers, titles, and given names.
 COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split())
 TITLES = "Dr Frau Herr Madame Miss Mme Monsieur Mr Mrs Ms Prof Señor Señora Sr Sra".split()
@@ -49,9 +51,9 @@ GIVEN = (
     "Steven Susan Thomas Ursula William Wolfgang"
 ).split()
 _CAPITAL = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
-_NAME = re.compile(
-    rf"\b(?:(?:{'|'.join(TITLES)})\.?\x20{_CAPITAL}(?:[\x20-]{_CAPITAL})?|(?:{'|'.join(GIVEN)})\x20{_CAPITAL}(?:-{_CAPITAL})?)\b"
-)
+_FIRST = re.compile("([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)\\.?\x20(?=[A-ZÀ-ÖØ-Þ])")
+_NAME = re.compile(rf"{_CAPITAL}\.?\x20{_CAPITAL}(?:[\x20-]{_CAPITAL})?")
+_NAMES = frozenset(TITLES + GIVEN)
 _BEFORE_NAME = re.compile(r"(?:author|by|contact|dear|from|name|regards|signed)[:,]?\s*\Z", re.IGNORECASE)
 _NAME_BEFORE = re.compile(r"([A-Za-z_]+)[\x20\t]*[=:]?[\x20\t]*[\"']?\Z")
 #: Numbers of patterns of a kind are so many.
@@ -131,13 +133,13 @@ def pattern_of(text: str, a: int, b: int) -> int:
     hexes = digits + sum(c in "abcdefABCDEF" for c in run)
     before = text[max(0, a - 40) : a]
     quoted = text[a - 1 : a] in ('"', "'") and text[b : b + 1] == text[a - 1 : a]
-    assigned = _assigned(before)
+    assigned, prefixed = _assigned(before), run.startswith(PREFIXES)
     votes = [
         1 if hexes == len(run) and digits < len(run) and len(run) >= 32 else 2 if digits == len(run) else 0,  # regex: hex run
         1 if 0 < digits < len(run) else 0 if digits == 0 else 2,  # regex: letters and digits
-        1 if _named(before) else 0,  # gazetteer
-        1 if assigned else 0,  # context: assignment
-        1 if quoted else 2 if assigned else 0,  # context: quotes
+        1 if prefixed or _named(before) else 0,  # gazetteer
+        1 if assigned else 2 if prefixed else 0,  # context: assignment
+        1 if quoted else 2 if assigned or prefixed else 0,  # context: quotes
     ]
     return _code(0, votes, [len(run) >= 24, hexes == len(run), digits == len(run), len(set(run.lower())) >= 8])
 
@@ -200,6 +202,20 @@ def _is_secret(run: str) -> bool:
     return sum(map(len, mixed)) * 3 >= len(run) or len(parts) >= 3 and all(re.fullmatch("[0-9a-fA-F]{4,}", p) for p in parts)
 
 
+def person_names(text: str) -> Iterator[tuple[int, int]]:
+    """A title with one or two capitalised words, or a given name with one."""
+    for m in _FIRST.finditer(text):
+        word = m.group(1)
+        if word not in _NAMES or text[m.start() - 1 : m.start()].isalnum():
+            continue
+        whole = _NAME.match(text, m.start())
+        if whole:
+            end, last = whole.end(), whole.group().rfind(" ")
+            if word in GIVEN and last > len(word) + 1:  # the third word may begin a sentence
+                end = whole.start() + last
+            yield whole.start(), end
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """(start, end, pattern) of candidates outside base spans and earlier kinds' candidates, by kind and start."""
     taken = [(a, b) for _, a, b in base]
@@ -217,7 +233,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
 
     ibans = outside([m.span() for m in _IBAN.finditer(text) if m.group()[:2] in COUNTRIES or iban_checks(m.group())])
     secrets = outside([m.span(1) for m in _SECRET.finditer(text) if _is_secret(m.group(1))])
-    names = outside([m.span() for m in _NAME.finditer(text)])
+    names = outside(list(person_names(text)))
     for spans_of, pattern in ((secrets, pattern_of), (ibans, iban_pattern), (names, name_pattern)):
         for a, b in spans_of:
             yield a, b, pattern(text, a, b)
@@ -233,8 +249,8 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> dict[
         log = np.tile([np.log(1 - prior), np.log(prior)], (len(n), 1))
         for k in range(votes.shape[1]):
             for c, weight in ((0, n * (1 - q)), (1, n * q)):
-                rate = np.array([weight[votes[:, k] == v].sum() + 1.0 for v in range(3)])
-                log[:, c] += np.log(rate / rate.sum())[votes[:, k]]
+                rate = np.array([weight[votes[:, k] == v].sum() + 1.0 for v in range(2)])
+                log[:, c] += np.append(np.log(rate / rate.sum()), 0.0)[votes[:, k]]  # a labeler that does not vote says nothing
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         if np.abs(new - q).max() < 1e-9:
             break
