@@ -7,11 +7,15 @@ Occurrences are edges between places, sorted by position. Relaxing a segment's e
 two neighbouring parts the one with the best score (leftmost on ties) is taken, until none is left; all short segments are relaxed at
 once, a step of each in a round. Characters outside the vocabulary become their bytes. Decoding is the inverse, by a table of the pieces' bytes.
 
-Results equal the public library's for models with the identity normaliser. Memory is bounded by the batch and the task's table of segments
-(``KNOWN`` at most; when full it starts anew). One pass, no shuffle.
+A segment of more than ``PART`` characters is matched part by part and cut wherever no edge crosses, as no merge does either; so only a stretch that
+pieces cover without any gap (one letter many times over) is relaxed as a whole, by a heap of numbers that takes some 80 bytes a character.
+
+Results equal the public library's for models with the identity normaliser. Memory is bounded by the batch, that stretch and the task's table of segments
+(``KNOWN`` at most; when full it starts anew). One pass, no shuffle. ``encode`` and ``decode`` work on DataFrames.
 
 Defined cases: null or empty text has no ids; the space sign itself in a text decodes to a space; repeated rows are treated alike; an empty
-table gives an empty result; extra columns are not carried. Whole texts are encoded, of any length.
+table gives an empty result; extra columns are not carried by ``round_trip``, all are by ``encode`` and ``decode``. Whole texts are encoded, of any length. In
+``decode`` null ids give null text, ids outside the vocabulary an error.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blank, text_slices
+from .common import blank, free_name, text_slices
 
 SPACE = "▁"
 END = "\U0010ffff"
@@ -63,6 +70,8 @@ class Codec:
         self.after = np.array([(p + END * self.width)[: self.width + 1] for p in self.names.tolist()])
         self.sizes = np.char.str_len(self.names)
         self.known: dict[str, list[int]] = {}
+        # the place of each id among all scores, best first
+        self.place = np.unique(-self.scores, return_inverse=True)[1].tolist()
 
     def edges(self, segments: list[str]) -> np.ndarray:
         """at[start, size] is the id of the piece that occurs there in the joined segments, -1 where none does."""
@@ -151,10 +160,86 @@ class Codec:
         start = base + np.flatnonzero(alive)
         return start, np.append(start[1:], base + size)
 
+    def gaps(self, segment: str) -> Iterator[int]:
+        """Places of a long segment that no edge of two characters or more crosses."""
+        reach = 0
+        for at in range(0, len(segment), PART):
+            block = segment[at : at + PART + self.width]
+            edges = self.edges([block])[: min(PART, len(segment) - at)]
+            sizes = np.where(edges >= 0, np.arange(self.width + 1), 0).max(axis=1)
+            places = np.arange(at, at + len(edges))
+            # how far the edges that start before a place go
+            far = np.maximum.accumulate(np.concatenate([[reach], places + np.maximum(sizes, 1)]))
+            yield from places[far[:-1] <= places].tolist()
+            reach = int(far[-1])
+
+    def encode_long(self, segment: str) -> np.ndarray:
+        """A segment of more than PART characters, cut at its gaps."""
+        out: list[np.ndarray] = []
+        some: list[str] = []
+        held = start = 0
+        for end in (*self.gaps(segment), len(segment)):
+            if end == start:
+                continue
+            part, start = segment[start:end], end
+            if len(part) > PART:
+                out += [self.flat(some), self.stretch(part)]
+                some, held = [], 0
+                continue
+            some.append(part)
+            held += len(part)
+            if held >= PART:
+                out.append(self.flat(some))
+                some, held = [], 0
+        return np.concatenate([*out, self.flat(some)])
+
+    def flat(self, segments: list[str]) -> np.ndarray:
+        """The ids of segments of at most PART characters, one after another."""
+        new = {s for s in segments if s not in self.known}
+        if len(self.known) + len(new) > KNOWN:
+            self.known, new = {}, set(segments)
+        self.learn(sorted(new))
+        return np.array([i for s in segments for i in self.known[s]], np.int32)
+
+    def stretch(self, text: str) -> np.ndarray:
+        """A long stretch without gaps, as a whole: a heap of (score's place, start, size) as one number each."""
+        n, pieces, place = len(text), self.pieces, self.place
+        after, before, end = (array("i", range(k, n + k)) for k in (1, -1, 1))
+        alive = bytearray(b"\1") * n
+
+        def edge(i: int, stop: int) -> int | None:
+            piece = pieces.get(text[i:stop]) if stop - i <= self.width else None
+            return None if piece is None else (place[piece] << 40 | i) << 8 | (stop - i)
+
+        heap = [e for e in (edge(i, i + 2) for i in range(n - 1)) if e is not None]
+        heapq.heapify(heap)
+        while heap:
+            e = heapq.heappop(heap)
+            i, stop = e >> 8 & 0xFFFFFFFFFF, (e >> 8 & 0xFFFFFFFFFF) + (e & 0xFF)
+            j = after[i]
+            if not alive[i] or j >= n or end[j] != stop or end[i] != j:
+                continue
+            alive[j] = 0
+            end[i], after[i] = stop, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                e = edge(i, end[after[i]])
+                if e is not None:
+                    heapq.heappush(heap, e)
+            if before[i] >= 0:
+                e = edge(before[i], stop)
+                if e is not None:
+                    heapq.heappush(heap, e)
+        ids: list[int] = []
+        i = 0
+        while i < n:
+            piece = pieces.get(text[i : end[i]])
+            ids += [piece] if piece is not None else [self.byte_ids[b] for b in text[i : end[i]].encode("utf-8", "replace")]
+            i = after[i]
+        return np.array(ids, np.int32)
+
     def learn(self, segments: list[str]) -> None:
         """Encode new segments, some at a time, and keep them."""
-        if len(self.known) + len(segments) > KNOWN:
-            self.known = {}
         total = np.cumsum([len(s) for s in segments]) // PART
         edge = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(segments)]
         for a, b in zip(edge, edge[1:]):
@@ -187,16 +272,20 @@ class Codec:
             a, b = edge[k], edge[k + 1]
             self.known[s] = [i for j in range(a, b) for i in unknown.get(j, flat[j : j + 1])] if k in mixed else flat[a:b]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        wanted = {s for segments in cut for s in segments}
-        new = [s for s in wanted if s not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            new = list(wanted)  # the table starts anew
-        self.learn(sorted(new))
-        return [[i for s in segments for i in self.known[s]] for segments in cut]
+        short = sorted({s for segments in cut for s in segments if len(s) <= PART})
+        self.flat(short)
+        out = []
+        for segments in cut:
+            if all(len(s) <= PART for s in segments):
+                out.append(np.array([i for s in segments for i in self.known[s]], np.int32))
+            else:
+                out.append(np.concatenate([self.flat([s]) if len(s) <= PART else self.encode_long(s) for s in segments]))
+                self.flat(short)  # long segments may have filled the table anew
+        return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         text = b"".join([self.table[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -211,8 +300,41 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for doc, text, ids in zip(batch.column("doc_id").to_pylist(), texts, codec.encode(texts)):
                 back = codec.decode(ids)
-                rows.append((doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(back.encode()), back == text))
+                rows.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode()), back == text))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select("doc_id", blank("text").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with the text's ids as array<int> after all other columns; an equal name is replaced."""
+    kept = docs.drop(ids)
+    names = kept.columns
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    filled = free_name(kept, "filled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(model_path)
+        for batch in text_slices(batches, filled):
+            found = codec.encode(batch.column(filled).to_pylist())
+            edges = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], schema.names)
+
+    return kept.withColumn(filled, blank(F.col(f"`{text}`"))).mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """The rows with the text of their ids after all other columns; an equal name is replaced."""
+    kept = encoded.drop(text)
+    names = kept.columns
+    schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(model_path)
+        for batch in batches:
+            texts = [None if i is None else codec.decode(i) for i in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], schema.names)
+
+    return kept.mapInArrow(run, schema)
