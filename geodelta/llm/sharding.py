@@ -45,9 +45,10 @@ def two_pass_shuffle(
     record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     placed = docs.select(record.alias("record"), F.monotonically_increasing_id().alias("place"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("place")), F.lit(buckets)).cast("int")
-    scattered = placed.withColumn("bucket", bucket).repartitionById(reducers, F.pmod("bucket", F.lit(reducers)).cast("int"))
+    placed = placed.withColumn("bucket", bucket).withColumn("reducer", F.pmod("bucket", F.lit(reducers)).cast("int"))
+    scattered = placed.repartitionById(reducers, F.col("reducer"))
     # pass 2: records cannot be compared if they hold maps, so a bucket is put in order by place alone
-    held = scattered.groupBy("bucket").agg(F.collect_list(F.struct("place", "record")).alias("held"))
+    held = scattered.groupBy("reducer", "bucket").agg(F.collect_list(F.struct("place", "record")).alias("held"))
     by_place = lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)
     shuffled = held.select("bucket", F.array_sort("held", by_place).alias("held")).select("bucket", F.expr(f"shuffle(held, {seed}L)").alias("held"))
     written = cut(shuffled.select("bucket", F.posexplode("held").alias("at", "e")).select("bucket", "at", "e.record"), "buckets")
