@@ -16,6 +16,41 @@ def unzigzag(z: Column) -> Column:
     return F.shiftrightunsigned(z, 1).bitwiseXOR(-(z.bitwiseAND(F.lit(1))))
 
 
+_LOW = 0xFFFFFFFF
+
+
+def wrapping_add(a: Column, b: Column) -> Column:
+    """The low 64 bits of a sum, whatever its size; longs stand for unsigned numbers as well."""
+    low = a.bitwiseAND(F.lit(_LOW)) + b.bitwiseAND(F.lit(_LOW))
+    high = F.shiftright(a, 32) + F.shiftright(b, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def wrapping_sub(a: Column, b: Column) -> Column:
+    low = a.bitwiseAND(F.lit(_LOW)) - b.bitwiseAND(F.lit(_LOW))
+    high = F.shiftright(a, 32) - F.shiftright(b, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def delta(current: Column, previous: Column) -> Column:
+    """Of signed or unsigned 64-bit numbers; wraps."""
+    return wrapping_sub(current, previous)
+
+
+def delta_of_delta(current: Column, previous: Column, prev_delta: Column) -> Column:
+    return wrapping_sub(delta(current, previous), prev_delta)
+
+
+def reconstruct_from_delta(previous: Column, d: Column) -> Column:
+    return wrapping_add(previous, d)
+
+
+def reconstruct_from_dod(previous: Column, prev_delta: Column, dod: Column) -> Column:
+    """The number and its delta, of signed or unsigned 64-bit numbers."""
+    d = wrapping_add(prev_delta, dod)
+    return F.struct(wrapping_add(previous, d).alias("current"), d.alias("delta"))
+
+
 def fits(z: Column, bits: int) -> Column:
     """Is the zigzag number under 2**bits? A negative long stands for one of 2**63 or more."""
     return (z >= 0) & (z < (1 << bits))
@@ -45,8 +80,6 @@ def verbatim_hex(ts: Column, slot: Column, cn0: Column, pr: Column, dop: Column,
 
 def pack_hex(bits: Column) -> Column:
     """A bit string padded with zeros to whole bytes, in hex. For bit strings short enough for one row; cross-checks only."""
-    padded = F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), F.lit("0"))
-    eights = F.sequence(F.lit(0), F.greatest((F.length(padded) / 8).cast("int") - 1, F.lit(0)))
-    return F.when(F.length(bits) == 0, F.lit("")).otherwise(
-        F.array_join(F.transform(eights, lambda k: F.lpad(F.conv(padded.substr(k * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
-    )
+    # Fixed-width groups by one pass of a pattern: a substring for each byte would walk the whole string each time
+    eights = F.regexp_extract_all(F.concat(bits, F.repeat(F.lit("0"), F.pmod(-F.length(bits), F.lit(8)))), F.lit("[01]{8}"), F.lit(0))
+    return F.array_join(F.transform(eights, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), "")

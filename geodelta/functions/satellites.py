@@ -29,6 +29,27 @@ def satellite(c: Column, s: Column) -> Column:
     return F.struct(c.alias("constellation"), s.alias("sat_id"))
 
 
+def glonass(slot: Column) -> Column:
+    """A GLONASS satellite; null outside the slots. The others likewise by their numbers."""
+    return _of("GLO", slot)
+
+
+def gps(prn: Column) -> Column:
+    return _of("GPS", prn)
+
+
+def galileo(svn: Column) -> Column:
+    return _of("GAL", svn)
+
+
+def beidou(prn: Column) -> Column:
+    return _of("BDS", prn)
+
+
+def _of(name: str, s: Column) -> Column:
+    return F.when(id_in_range(F.lit(name), s), satellite(F.lit(name), s.cast("int")))
+
+
 def is_fdma(c: Column) -> Column:
     return c == "GLO"
 

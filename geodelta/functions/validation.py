@@ -1,4 +1,7 @@
-"""Validation as columns: a struct (error_code, error_value, error_message), null where a row is valid; the first error wins."""
+"""Validation as columns: a struct (error_code, error_value, error_message), null where a row is valid; the first error wins.
+
+The data model has no nulls: a null is an error of its field, without a value.
+"""
 
 from __future__ import annotations
 
@@ -11,23 +14,23 @@ from ..schema import CN0_MAX, CN0_STRONG, CN0_TRACKED, GENERIC_MAX_DOPPLER, SYST
 def _error(code: str, value: Column) -> Column:
     value = value.cast("long")
     return F.struct(
-        F.lit(code).alias("error_code"), value.alias("error_value"), F.concat(F.lit(f"{code}("), value.cast("string"), F.lit(")")).alias("error_message")
+        F.lit(code).alias("error_code"), value.alias("error_value"), F.concat(F.lit(f"{code}("), F.coalesce(value.cast("string"), F.lit("null")), F.lit(")")).alias("error_message")
     )
 
 
 def id_error(system: str, s: Column) -> Column:
     low, high, *_, code = SYSTEMS[system]
-    return F.when(~s.between(low, high), _error(code, s))
+    return F.when(s.isNull() | ~s.between(low, high), _error(code, s))
 
 
 def pseudorange_error(system: str, mm: Column) -> Column:
     _, _, low, high, *_ = SYSTEMS[system]
-    return F.when(~mm.between(low, high), _error("InvalidPseudorange", mm))
+    return F.when(mm.isNull() | ~mm.between(low, high), _error("InvalidPseudorange", mm))
 
 
 def doppler_error(system: str, mhz: Column) -> Column:
     size = F.abs(mhz.cast("long"))
-    return F.when(size > SYSTEMS[system][4], _error("InvalidDoppler", size))
+    return F.when(size.isNull() | (size > SYSTEMS[system][4]), _error("InvalidDoppler", size))
 
 
 def system_error(system: str) -> Column:
@@ -36,6 +39,23 @@ def system_error(system: str) -> Column:
     )
 
 
+def is_valid_id(system: str, s: Column) -> Column:
+    return id_error(system, s).isNull()
+
+
+def is_valid_pseudorange(system: str, mm: Column) -> Column:
+    return pseudorange_error(system, mm).isNull()
+
+
+def is_valid_doppler(system: str, mhz: Column) -> Column:
+    return doppler_error(system, mhz).isNull()
+
+
+def is_valid(system: str) -> Column:
+    """Is the row valid as one of the system?"""
+    return system_error(system).isNull()
+
+
 def observation_error() -> Column:
     """Validation by the row's own system."""
     out = F.lit(None)
@@ -47,12 +67,12 @@ def observation_error() -> Column:
 def generic_error() -> Column:
     mm, mhz = F.col("pseudorange_mm"), F.col("doppler_millihz").cast("long")
     return F.coalesce(
-        F.when(mm <= 0, _error("InvalidPseudorange", mm)), F.when(F.abs(mhz) > GENERIC_MAX_DOPPLER, _error("InvalidDoppler", mhz))
+        F.when(mm.isNull() | (mm <= 0), _error("InvalidPseudorange", mm)), F.when(mhz.isNull() | (F.abs(mhz) > GENERIC_MAX_DOPPLER), _error("InvalidDoppler", mhz))
     )
 
 
 def cn0_error(cn0: Column) -> Column:
-    return F.when(~cn0.between(0, CN0_MAX), _error("InvalidDbHz", cn0))
+    return F.when(cn0.isNull() | ~cn0.between(0, CN0_MAX), _error("InvalidDbHz", cn0))
 
 
 def timestamp_error(ms: Column) -> Column:

@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from ..schema import VERSION
 
-DESCRIPTIONS = {1: "V1"}
+DESCRIPTIONS = {VERSION: "Version 1 (initial encoding)"}
 
 
-def known_version(v: Column) -> Column:
-    """The version, or null with an error for any byte but 1."""
-    return F.when(v == VERSION, v)
+def format_version(v: Column) -> Column:
+    """A byte as a version: version and description, or the error InvalidVersion with the byte."""
+    known = F.coalesce(v.isin(*DESCRIPTIONS), F.lit(False))
+    shown = F.lit(None).cast("string")
+    for version, text in DESCRIPTIONS.items():
+        shown = F.when(v == version, F.lit(text)).otherwise(shown)
+    return F.struct(
+        F.when(known, v.cast("int")).alias("version"),
+        shown.alias("description"),
+        F.when(~known, F.lit("InvalidVersion")).alias("error_code"),
+        F.when(~known, v.cast("long")).alias("error_value"),
+    )
 
 
 def can_read(reader: Column, written: Column) -> Column:

@@ -8,65 +8,65 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.bits import bit_string, fits, zigzag
+from ..functions.bits import bit_string, fits, wrapping_sub, zigzag
 from ..functions.satellites import raw_size
 from ..schema import HEADER_LEN
 
 FIELDS = ("ts", "slot", "cn0", "pr", "doppler", "phase")
 
 
-def _phase_fold() -> Column:
-    """Carrier phase is a true recurrence: the last delta is forgotten after an absolute bucket. A fold over the chunk's rows."""
-    zero = F.struct(
-        F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("delta"), F.lit(False).alias("begun"),
-        F.array().cast("array<struct<seq:long,kind:int,z:long>>").alias("out"),
+def phase_kinds(obs: DataFrame, chunk: str = "chunk_id") -> DataFrame:
+    """(chunk, seq, kind, z): kinds -1 first row, 0 none, 1 lost, 2 found, 3 same, 4 near, 5 absolute; z is the residual in zigzag."""
+    ph = F.col("carrier_phase_cycles")
+    kind = (
+        F.when(F.col("n") == 1, -1)
+        .when(ph.isNull(), F.when(F.col("p_phase").isNull(), 0).otherwise(1))
+        .when(F.col("b_phase") == 66, 2)
+        .when(F.col("b_phase") == 3, 3)
+        .when(F.col("b_phase") == 36, 4)
+        .otherwise(5)
     )
+    return predicted(obs, chunk).select(chunk, "seq", kind.alias("kind"), zigzag(F.col("r_phase")).alias("z"))
 
-    def step(s: Column, x: Column) -> Column:
-        delta = F.try_subtract(x["phase"], s["last"])
-        dod = F.try_subtract(delta, F.coalesce(s["delta"], F.lit(0)))
-        z = zigzag(dod)
-        kind = (
-            F.when(~s["begun"], F.lit(-1))
-            .when(x["phase"].isNull(), F.when(s["last"].isNull(), F.lit(0)).otherwise(F.lit(1)))
-            .when(s["last"].isNull(), F.lit(2))
-            .when(dod == 0, F.lit(3))
-            .when(fits(z, 32), F.lit(4))
-            .otherwise(F.lit(5))
-        )
-        kept = F.when(s["begun"] & kind.isin(3, 4), delta)
-        row = F.struct(x["seq"].alias("seq"), kind.alias("kind"), z.alias("z"))
-        return F.struct(x["phase"].alias("last"), kept.alias("delta"), F.lit(True).alias("begun"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    rows = F.sort_array(F.collect_list(F.struct("seq", F.col("carrier_phase_cycles").alias("phase"))))
-    return F.aggregate(rows, zero, step, lambda s: s["out"])
 
+def _phase(obs: DataFrame, w: WindowSpec) -> DataFrame:
+    """Adds p_phase, d_phase and r_phase. Whether a row's delta is remembered depends on whether the last one's was: a recurrence of booleans.
 
-def phase_kinds(obs: DataFrame, chunk: str = "chunk_id") -> DataFrame:
-    """(chunk, seq, kind, z) by the fold; kinds -1 first row, 0 none, 1 lost, 2 found, 3 same, 4 near, 5 absolute."""
-    return obs.groupBy(chunk).agg(_phase_fold().alias("rows")).select(chunk, F.inline("rows"))
+    Most rows decide it alone (both answers agree); of the others some turn it round. So it is the answer of the last row that decides alone, turned
+    as many times as there were turning rows since: window sums over the chunk, no fold."""
+    ph = F.col("carrier_phase_cycles")
+    out = obs.withColumn("p_phase", F.lag(ph).over(w)).withColumn("d_phase", wrapping_sub(ph, F.col("p_phase")))
+    out = out.withColumn("_after", wrapping_sub(F.col("d_phase"), F.lag("d_phase").over(w)))
+    near = lambda c: F.coalesce(fits(zigzag(F.col(c)), 32), F.lit(False))
+    alone, then = near("d_phase"), F.when(F.col("_after").isNull(), near("d_phase")).otherwise(near("_after"))
+    decided = (F.col("n") == 1) | (alone == then)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_turns", F.sum((~decided & alone).cast("int")).over(so_far))
+    state = F.last(F.when(decided, F.struct((alone & (F.col("n") > 1)).alias("kept"), F.col("_turns").alias("turns"))), ignorenulls=True).over(so_far)
+    out = out.withColumn("_state", state)
+    kept = (F.col("_state.kept").cast("int") + F.col("_turns") - F.col("_state.turns")) % 2 == 1
+    out = out.withColumn("_kept", F.lag(kept, 1, False).over(w))
+    return out.withColumn("r_phase", F.when(F.col("_kept"), F.col("_after")).otherwise(F.col("d_phase"))).drop("_after", "_turns", "_state", "_kept")
 
 
 def predicted(obs: DataFrame, chunk: str = "chunk_id") -> DataFrame:
-    """Residuals and bucket sizes of each row. The phase by lag: exact while no row but a found one needs the absolute bucket (else use the fold)."""
+    """Residuals and bucket sizes of each row, those of the packer for any values; differences wrap at 64 bits."""
     w = Window.partitionBy(chunk).orderBy("seq")
     per_slot = Window.partitionBy(chunk, "slot").orderBy("seq")
     ts, pr, ph = F.col("timestamp_ms"), F.col("pseudorange_mm"), F.col("carrier_phase_cycles")
     out = obs.withColumn("n", F.row_number().over(w))
     first = F.col("n") == 1
     for name, c in (("ts", ts), ("pr", pr)):
-        out = out.withColumn(f"d_{name}", c - F.lag(c).over(w))
-        out = out.withColumn(f"r_{name}", F.col(f"d_{name}") - F.coalesce(F.lag(f"d_{name}").over(w), F.lit(0)))
+        out = out.withColumn(f"d_{name}", wrapping_sub(c, F.lag(c).over(w)))
+        out = out.withColumn(f"r_{name}", wrapping_sub(F.col(f"d_{name}"), F.coalesce(F.lag(f"d_{name}").over(w), F.lit(0).cast("long"))))
     out = (
         out.withColumn("r_slot", F.col("slot") != F.lag("slot").over(w))
         .withColumn("r_cn0", F.col("cn0_dbhz") - F.lag("cn0_dbhz").over(w))
         .withColumn("r_doppler", F.col("doppler_millihz").cast("long") - F.lag(F.col("doppler_millihz").cast("long")).over(per_slot))
-        .withColumn("p_phase", F.lag(ph).over(w))
-        .withColumn("d_phase", ph - F.col("p_phase"))
-        .withColumn("r_phase", F.col("d_phase") - F.coalesce(F.lag("d_phase").over(w), F.lit(0)))
     )
+    out = _phase(out, w)
     z = {k: zigzag(F.col(f"r_{k}")) for k in ("ts", "cn0", "pr", "doppler", "phase")}
     dod = lambda k, near, far: F.when(F.col(f"r_{k}") == 0, 1).when(fits(z[k], near[0]), near[1]).when(fits(z[k], far[0]), far[1]).otherwise(67)
     sizes = {
@@ -109,6 +109,20 @@ def bit_strings(obs: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     return out.withColumn("stream", F.concat(*parts))
 
 
+def summary(sizes: DataFrame) -> DataFrame:
+    """Over all chunks of ``chunk_sizes``: their number, rows, bytes, average, least and largest ratio, and bytes a row before and after."""
+    total = sizes.agg(
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("raw_bytes").alias("raw_bytes"),
+        F.sum("chunk_bytes").alias("chunk_bytes"),
+        F.avg("ratio").alias("avg_ratio"),
+        F.min("ratio").alias("least"),
+        F.max("ratio").alias("most"),
+    )
+    return total.withColumns({"raw_per_row": F.col("raw_bytes") / F.col("n_rows"), "bytes_per_row": F.col("chunk_bytes") / F.col("n_rows")})
+
+
 def chunk_sizes(obs: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     """Per chunk: rows, raw bytes, encoded bytes, ratio and bits a row, by sums alone; the bytes are those the packer writes."""
     p = predicted(obs, chunk).withColumn("raw", raw_size(F.col("carrier_phase_cycles")))

@@ -10,7 +10,18 @@ CHUNK_ROWS = 512
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, chunk_id, slot, constellation, sat_id, timestamp_ms, cn0_raw, cn0_dbhz, pseudorange_mm, doppler_millihz, carrier_phase_cycles."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def from_events(events: DataFrame) -> DataFrame:
+    # Bases and steps of the made-up observations
+    e = events.select("event_id", "ts", "user_id", "value")
     seq, user = F.col("event_id"), F.col("user_id")
     slot = (user % 14 - 7).cast("int")
     system = F.element_at(F.array(*[F.lit(s) for s in ("GLO", "GPS", "GAL", "BDS")]), (user % 4 + 1).cast("int"))

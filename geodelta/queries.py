@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from .functions import satellites as S
 from .functions import validation as V
 from .operators import chunks, doppler, epochs, wire
 from .plans import buckets
-from .plans.obs import SQL, observations
+from .plans.obs import SQL, event_stream, observations
 from .schema import CARRIERS, SYSTEMS
 from .sources import framed
+from .streaming.encoder import stream_chunks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,7 +87,8 @@ def q_const_order(o: DataFrame) -> DataFrame:
     return o.groupBy("constellation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sat_id").alias("sats")).withColumn("ord", S.order_of(c))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in CARRIERS.items()) + ") t(carrier, hz)", raw=True)
+# multiples of the 10.23 MHz that all of them are made of
+@query("SELECT carrier, (k * 1023000)::BIGINT AS hz FROM (VALUES ('GPS_L1', 1540), ('GPS_L2', 1200), ('GAL_E1', 1540), ('GAL_E5A', 1150), ('GAL_E5B', 1180), ('BDS_B1I', 1526), ('BDS_B1C', 1540), ('BDS_B2A', 1150)) t(carrier, k)", raw=True)
 def q_carriers(o: DataFrame) -> DataFrame:
     return o.sparkSession.createDataFrame(list(CARRIERS.items()), "carrier string, hz long")
 
@@ -109,10 +112,10 @@ for _system in SYSTEMS:
     _validator(_system)
 
 
-@query(f"SELECT seq, CASE WHEN pseudorange_mm <= 0 THEN 'InvalidPseudorange' WHEN {ABS} > 10000000 THEN 'InvalidDoppler' END AS error_code FROM (SELECT seq, pseudorange_mm - 21600000000 AS pseudorange_mm, doppler_millihz * 3 AS doppler_millihz FROM obs)")
+@query(f"SELECT seq, CASE WHEN pseudorange_mm <= 0 THEN 'InvalidPseudorange' WHEN {ABS} > 10000000 THEN 'InvalidDoppler' END AS error_code, CASE WHEN pseudorange_mm <= 0 THEN pseudorange_mm WHEN {ABS} > 10000000 THEN doppler_millihz::BIGINT END AS error_value FROM (SELECT seq, pseudorange_mm - 21600000000 AS pseudorange_mm, doppler_millihz * 3 AS doppler_millihz FROM obs)")
 def q_validate_generic(o: DataFrame) -> DataFrame:
     moved = o.withColumn("pseudorange_mm", mm - 21_600_000_000).withColumn("doppler_millihz", mhz * 3)
-    return V.validate(moved, V.generic_error()).select("seq", "error_code")
+    return V.validate(moved, V.generic_error()).select("seq", "error_code", "error_value")
 
 
 @query("SELECT coalesce(error_code, 'ok') AS error_code, count(*) AS n FROM (SELECT CASE WHEN cn0_raw NOT BETWEEN 0 AND 60 THEN 'InvalidDbHz' END AS error_code FROM obs) GROUP BY 1")
@@ -147,17 +150,31 @@ def q_delta_dod(o: DataFrame) -> DataFrame:
 
 @query("SELECT seq, timestamp_ms AS from_delta, timestamp_ms AS from_dod FROM obs")
 def q_reconstruct(o: DataFrame) -> DataFrame:
-    p = buckets.predicted(o)
+    """Each row again from the row before: by its delta, and by its change of delta."""
     w = Window.partitionBy("chunk_id").orderBy("seq")
-    first = F.first("timestamp_ms").over(w)
-    p = p.withColumn("d2", F.sum(F.coalesce("r_ts", F.lit(0))).over(w))
+    p = buckets.predicted(o).withColumn("last", F.lag(ts).over(w)).withColumn("last_d", F.coalesce(F.lag("d_ts").over(w), F.lit(0).cast("long")))
     return p.select(
         "seq",
-        (first + F.sum(F.coalesce("d_ts", F.lit(0))).over(w)).alias("from_delta"),
-        (first + F.sum("d2").over(w)).alias("from_dod"),
+        F.coalesce(B.reconstruct_from_delta(F.col("last"), F.col("d_ts")), ts).alias("from_delta"),
+        F.coalesce(B.reconstruct_from_dod(F.col("last"), F.col("last_d"), F.col("r_ts"))["current"], ts).alias("from_dod"),
     )
 
 
+#: Unsigned 64-bit numbers that wrap: a step of nearly 2^62 a row.
+U64 = "(seq::HUGEINT * 4611686018427387911) % 18446744073709551616"
+SIGNED = lambda x: f"CAST(CASE WHEN ({x}) % 18446744073709551616 >= 9223372036854775808 THEN ({x}) % 18446744073709551616 - 18446744073709551616 WHEN ({x}) % 18446744073709551616 < -9223372036854775808 THEN ({x}) % 18446744073709551616 + 18446744073709551616 ELSE ({x}) % 18446744073709551616 END AS BIGINT)"
+
+
+@query(f", u AS (SELECT seq, chunk_id, {U64} AS u FROM obs), d AS (SELECT seq, chunk_id, u, u - lag(u) OVER (PARTITION BY chunk_id ORDER BY seq) AS d FROM u), dd AS (SELECT *, d - lag(d) OVER (PARTITION BY chunk_id ORDER BY seq) AS dod FROM d) SELECT seq, {SIGNED('u')} AS u, {SIGNED('d')} AS d, {SIGNED('dod')} AS dod, CASE WHEN dod IS NOT NULL THEN {SIGNED('u')} END AS back, CASE WHEN dod IS NOT NULL THEN {SIGNED('d')} END AS back_d FROM dd")
+def q_delta_u64(o: DataFrame) -> DataFrame:
+    w = Window.partitionBy("chunk_id").orderBy("seq")
+    u = B.wrapping_add(F.shiftleft(seq, 62), seq * 7)
+    x = o.select("seq", "chunk_id", u.alias("u")).withColumn("last", F.lag("u").over(w)).withColumn("d", B.delta(F.col("u"), F.col("last")))
+    x = x.withColumn("last_d", F.lag("d").over(w)).withColumn("dod", B.delta_of_delta(F.col("u"), F.col("last"), F.col("last_d")))
+    back = B.reconstruct_from_dod(F.col("last"), F.col("last_d"), F.col("dod"))
+    return x.select("seq", "u", "d", "dod", back["current"].alias("back"), back["delta"].alias("back_d"))
+
+
 ZZ = lambda x: f"(CASE WHEN {x} >= 0 THEN 2 * {x} ELSE -2 * {x} - 1 END)"
 PRED = f""", lagged AS (SELECT *, row_number() OVER w AS n, timestamp_ms - lag(timestamp_ms) OVER w AS d_ts, pseudorange_mm - lag(pseudorange_mm) OVER w AS d_pr,
  slot <> lag(slot) OVER w AS r_slot, cn0_dbhz - lag(cn0_dbhz) OVER w AS r_cn0,
@@ -185,6 +202,35 @@ def q_phase_fold(o: DataFrame) -> DataFrame:
     return buckets.phase_kinds(o).select("seq", "kind")
 
 
+#: Phases that leave the near bucket, next to each other and apart, and nulls between them; and the packer's rule row by row.
+JUMPS = f"""WITH RECURSIVE {SQL}, ph AS (SELECT chunk_id, seq, row_number() OVER (PARTITION BY chunk_id ORDER BY seq) AS n,
+ carrier_phase_cycles + (CASE WHEN seq % 7 = 3 THEN 1099511627776 ELSE 0 END) + (seq % 11 // 9) * 8589934592 + (seq // 16 % 2) * (seq % 16) * 4294967296 AS phase FROM obs),
+r AS (SELECT chunk_id, seq, n, phase, NULL::BIGINT AS d, -1 AS kind FROM ph WHERE n = 1 UNION ALL
+ SELECT chunk_id, seq, n, phase, CASE WHEN kind IN (3, 4) THEN step END, kind FROM (
+  SELECT *, CASE WHEN phase IS NULL THEN CASE WHEN last IS NULL THEN 0 ELSE 1 END WHEN last IS NULL THEN 2 WHEN dod = 0 THEN 3 WHEN dod BETWEEN -2147483648 AND 2147483647 THEN 4 ELSE 5 END AS kind FROM (
+   SELECT p.chunk_id, p.seq, p.n, p.phase, r.phase AS last, p.phase - r.phase AS step, p.phase - r.phase - coalesce(r.d, 0) AS dod FROM r JOIN ph p ON p.chunk_id = r.chunk_id AND p.n = r.n + 1)))
+"""
+
+
+def _jumping(o: DataFrame) -> DataFrame:
+    far = F.when(seq % 7 == 3, F.lit(1 << 40)).otherwise(F.lit(0))
+    steps = F.floor(seq % 11 / 9).cast("long") * (1 << 33) + F.floor(seq / 16).cast("long") % 2 * (seq % 16) * (1 << 32)
+    return o.withColumn("carrier_phase_cycles", (phase + far + steps).cast("long"))
+
+
+@query(JUMPS + "SELECT seq, kind, CAST(CASE kind WHEN -1 THEN 0 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 66 WHEN 3 THEN 3 WHEN 4 THEN 36 ELSE 68 END AS INTEGER) AS b_phase FROM r", raw=True)
+def q_phase_absolute(o: DataFrame) -> DataFrame:
+    j = _jumping(o)
+    return buckets.phase_kinds(j).select("seq", "kind").join(buckets.predicted(j).select("seq", "b_phase"), "seq")
+
+
+@query("SELECT chunk_id, true AS same FROM obs GROUP BY 1")
+def q_absolute_sizes(o: DataFrame) -> DataFrame:
+    """With phases that jump, window sizes are the packer's bytes."""
+    j = _jumping(o)
+    return chunks.encode_chunks(j, mode="FAILFAST").join(buckets.chunk_sizes(j), "chunk_id").select("chunk_id", (F.octet_length("payload") == F.col("chunk_bytes")).alias("same"))
+
+
 @query(PRED + "SELECT chunk_id, seq, CAST(sum(bits) OVER (PARTITION BY chunk_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bit_end FROM bits")
 def q_bit_offsets(o: DataFrame) -> DataFrame:
     w = Window.partitionBy("chunk_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -201,11 +247,17 @@ def q_chunk_size(o: DataFrame) -> DataFrame:
     return buckets.chunk_sizes(o)
 
 
-@query(SIZES + "SELECT count(*) AS n_chunks, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(chunk_bytes) AS BIGINT) AS chunk_bytes, min(raw_bytes::DOUBLE / chunk_bytes) AS least, max(raw_bytes::DOUBLE / chunk_bytes) AS most FROM sizes")
+@query(SIZES + "SELECT count(*) AS n_chunks, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(chunk_bytes) AS BIGINT) AS chunk_bytes, min(raw_bytes::DOUBLE / chunk_bytes) AS least, max(raw_bytes::DOUBLE / chunk_bytes) AS most, CAST(sum(n_rows) AS BIGINT) AS n_rows, round(avg(raw_bytes::DOUBLE / chunk_bytes), 9) AS avg_ratio, sum(raw_bytes)::DOUBLE / sum(n_rows)::DOUBLE AS raw_per_row, sum(chunk_bytes)::DOUBLE / sum(n_rows)::DOUBLE AS bytes_per_row FROM sizes")
 def q_ratio_summary(o: DataFrame) -> DataFrame:
-    return buckets.chunk_sizes(o).agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("chunk_bytes").alias("chunk_bytes"), F.min("ratio").alias("least"), F.max("ratio").alias("most")
-    )
+    return buckets.summary(buckets.chunk_sizes(o)).withColumn("avg_ratio", F.round("avg_ratio", 9))
+
+
+def q_gzip_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks against gzip of their plain rows; SQL has no gzip."""
+    return chunks.compared(observations(spark, sf_dir))
+
+
+QUERIES["q_gzip_compare"] = q_gzip_compare
 
 
 @query(PRED + "SELECT field, size, count(*) AS n FROM (UNPIVOT (SELECT b_ts AS ts, b_slot AS slot, b_cn0 AS cn0, b_pr AS pr, b_doppler AS doppler, b_phase AS phase FROM bits WHERE n > 1) ON ts, slot, cn0, pr, doppler, phase INTO NAME field VALUE size) GROUP BY 1, 2")
@@ -302,39 +354,122 @@ def q_decode_guard(o: DataFrame) -> DataFrame:
     return chunks.decode_chunks(chunks.encode_chunks(o), max_samples=300).groupBy("chunk_id").agg(F.max("error_code").alias("error_code"))
 
 
-@query("SELECT seq, residual, CAST(CASE WHEN residual IS NULL THEN 33 WHEN residual = 0 THEN 2 WHEN " + ZZ("residual") + " < 65536 THEN 19 ELSE 35 END AS INTEGER) AS n_bits, doppler_millihz::BIGINT AS decoded FROM (SELECT *, doppler_millihz::BIGINT - lag(doppler_millihz::BIGINT) OVER (PARTITION BY constellation, sat_id ORDER BY seq) AS residual FROM obs)")
+def _rows_of(decoded: DataFrame) -> DataFrame:
+    """Decoded rows with the seq that they had."""
+    return decoded.withColumn("seq", F.col("chunk_id") * 512 + F.col("seq"))
+
+
+V32 = "lpad(bin(doppler_millihz::BIGINT & 4294967295), 32, '0')"
+
+
+@query("SELECT seq, residual, CAST(CASE WHEN residual IS NULL THEN 33 WHEN residual = 0 THEN 2 WHEN " + ZZ("residual") + f" < 65536 THEN 19 ELSE 35 END AS INTEGER) AS n_bits, CASE WHEN residual IS NULL THEN '0' || {V32} WHEN residual = 0 THEN '10' WHEN " + ZZ("residual") + " < 65536 THEN '110' || lpad(bin(" + ZZ("residual") + f"), 16, '0') ELSE '111' || {V32} END AS bits, doppler_millihz AS decoded FROM (SELECT *, doppler_millihz::BIGINT - lag(doppler_millihz::BIGINT) OVER (PARTITION BY chunk_id, constellation, sat_id ORDER BY seq) AS residual FROM obs WHERE constellation <> 'GLO')")
 def q_cdma(o: DataFrame) -> DataFrame:
-    return doppler.cdma_decode(doppler.cdma_bits(o)).select("seq", "residual", "n_bits", "decoded")
+    """Residuals and bits by columns; the values again from the streams' bits."""
+    some = o.filter("constellation != 'GLO'")
+    w = Window.partitionBy("chunk_id").orderBy("seq")
+    place = some.select("chunk_id", "seq", (F.row_number().over(w) - 1).cast("long").alias("at"))
+    back = doppler.decode_doppler(doppler.encode_doppler(some)).select("chunk_id", F.col("seq").alias("at"), F.col("doppler_millihz").alias("decoded"))
+    return doppler.cdma_bits(some).select("seq", "residual", "n_bits", "bits").join(place.join(back, ["chunk_id", "at"]).select("seq", "decoded"), "seq")
 
 
 def _smooth(o: DataFrame) -> DataFrame:
     return o.withColumn("doppler_millihz", (F.lit(1_200_000) + seq % 1000).cast("int"))
 
 
-@query("""SELECT f.slot, f.base FROM (SELECT slot, list_reduce(list(1200000 + seq % 1000 ORDER BY seq), lambda b, x: b + ((x - b) >> 7)) AS base FROM obs GROUP BY 1) f""")
+@query("""SELECT chunk_id, slot, list_reduce(list(1200000 + seq % 1000 ORDER BY seq), lambda b, x: b + ((x - b) >> 7)) AS base FROM obs GROUP BY ALL""")
 def q_fdma_ema(o: DataFrame) -> DataFrame:
-    r = doppler.fdma_residuals(_smooth(o))
-    return r.groupBy("slot").agg(F.max_by("base", "seq").alias("base"))
+    return doppler.fdma_residuals(_smooth(o)).groupBy("chunk_id", "slot").agg(F.max_by("base", "seq").alias("base"))
 
 
-@query("SELECT seq, doppler_millihz::BIGINT AS v FROM obs")
+@query("SELECT seq, slot AS sat_id, doppler_millihz AS v FROM obs")
 def q_fdma_roundtrip(o: DataFrame) -> DataFrame:
-    return doppler.fdma_decode(doppler.fdma_residuals(o)).select("seq", "v")
+    """All rows as GLONASS ones by their slot: to bits, and back from the bits."""
+    glo = o.withColumn("constellation", F.lit("GLO")).withColumn("sat_id", slot)
+    return _rows_of(doppler.decode_doppler(doppler.encode_doppler(glo))).select("seq", "sat_id", F.col("doppler_millihz").alias("v"))
 
 
-@query("SELECT seq, doppler_millihz::BIGINT AS v FROM obs")
+@query("SELECT seq, constellation, sat_id, doppler_millihz AS v, NULL::VARCHAR AS error_code FROM obs")
 def q_registry_roundtrip(o: DataFrame) -> DataFrame:
-    glo = doppler.fdma_residuals(o.filter("constellation = 'GLO'").withColumn("slot", s))
-    cdma = doppler.cdma_decode(doppler.cdma_bits(o.filter("constellation != 'GLO'")))
-    both = doppler.fdma_decode(glo).select("seq", "v").unionByName(cdma.select("seq", F.col("decoded").alias("v")))
-    return both.join(doppler.registry_bits(o), "seq").select("seq", "v")
+    back = _rows_of(doppler.decode_doppler(doppler.encode_doppler(o)))
+    return back.select("seq", "constellation", "sat_id", F.col("doppler_millihz").alias("v"), "error_code")
+
 
+@query("SELECT chunk_id, count(*) AS n, CAST(sum(CASE WHEN first = seq THEN 33 WHEN constellation = 'GLO' THEN CASE WHEN residual = 0 THEN 2 ELSE 17 END WHEN residual = 0 THEN 2 ELSE 19 END) AS BIGINT) AS n_bits FROM (SELECT *, min(seq) OVER w AS first, 0 AS residual FROM obs WINDOW w AS (PARTITION BY chunk_id, constellation, sat_id)) GROUP BY 1")
+def q_registry_constant(o: DataFrame) -> DataFrame:
+    """Constant values: each satellite of a chunk is written once, and two bits for each further row."""
+    e = doppler.encode_doppler(o.withColumn("doppler_millihz", F.lit(1_200_000)))
+    return e.select("chunk_id", F.col("sample_count").alias("n"), "n_bits")
 
-@query("SELECT seq % 4 AS written, count(*) AS n, seq % 4 <= 1 AS readable, CASE WHEN seq % 4 > 1 THEN 2 ELSE 0 END AS warned FROM obs GROUP BY ALL")
+
+@query("SELECT chunk_id, CASE WHEN arg_min(constellation, seq) <> 'GLO' THEN 'InvalidBitPattern' END AS error_code, CASE WHEN arg_min(constellation, seq) <> 'GLO' THEN 0 ELSE count(*) END AS good FROM obs GROUP BY 1")
+def q_doppler_corrupt(o: DataFrame) -> DataFrame:
+    """A first bit turned round is an error of a last-value codec; the slow-average codec does not look at it."""
+    e = doppler.encode_doppler(o)
+    h = F.hex("payload")
+    first = F.lpad(F.conv((F.conv(h.substr(1, 2), 16, 10).cast("int") + 128).cast("string"), 10, 16), 2, "0")
+    d = doppler.decode_doppler(e.withColumn("payload", F.unhex(F.concat(first, h.substr(F.lit(3), F.length(h))))))
+    return d.groupBy("chunk_id").agg(F.max("error_code").alias("error_code"), F.count(F.when(F.col("error_code").isNull(), 1)).alias("good"))
+
+
+@query("SELECT seq % 4 AS written, count(*) AS n, seq % 4 <= 1 AS readable, seq % 4 <= 1 AS writable, false AS deprecated, CASE WHEN seq % 4 > 1 THEN 'format is newer than the reader; format cannot be read' ELSE '' END AS warned FROM obs GROUP BY ALL")
 def q_compatibility(o: DataFrame) -> DataFrame:
     v = wire.compatibility(F.lit(1), F.col("written"))
     g = o.groupBy((seq % 4).alias("written")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("written", "n", v["readable"].alias("readable"), F.size(v["warnings"]).alias("warned"))
+    return g.select("written", "n", v["readable"].alias("readable"), v["writable"].alias("writable"), v["deprecated"].alias("deprecated"), F.array_join(v["warnings"], "; ").alias("warned"))
+
+
+@query("SELECT DISTINCT CAST(seq % 256 AS INTEGER) AS byte, CASE WHEN seq % 256 = 1 THEN 1 END AS version, CASE WHEN seq % 256 = 1 THEN 'Version 1 (initial encoding)' END AS description, CASE WHEN seq % 256 <> 1 THEN 'InvalidVersion' END AS error_code, CASE WHEN seq % 256 <> 1 THEN seq % 256 END AS error_value FROM obs")
+def q_format_version(o: DataFrame) -> DataFrame:
+    bytes_ = o.select((seq % 256).cast("int").alias("byte")).distinct()
+    return bytes_.select("byte", wire.format_version(F.col("byte")).alias("v")).select("byte", "v.*")
+
+
+@query("SELECT seq, " + ", ".join(f"sat_id BETWEEN {SYSTEMS[s][0]} AND {SYSTEMS[s][1]} AS {s.lower()}_id, pseudorange_mm BETWEEN {SYSTEMS[s][2]} AND {SYSTEMS[s][3]} AS {s.lower()}_range, {ABS} <= {SYSTEMS[s][4]} AS {s.lower()}_doppler, sat_id BETWEEN {SYSTEMS[s][0]} AND {SYSTEMS[s][1]} AND pseudorange_mm BETWEEN {SYSTEMS[s][2]} AND {SYSTEMS[s][3]} AND {ABS} <= {SYSTEMS[s][4]} AS {s.lower()}_valid" for s in ("GPS", "GAL", "BDS")) + " FROM obs")
+def q_is_valid(o: DataFrame) -> DataFrame:
+    out = []
+    for k in ("GPS", "GAL", "BDS"):
+        parts = (V.is_valid_id(k, s), V.is_valid_pseudorange(k, mm), V.is_valid_doppler(k, mhz), V.is_valid(k))
+        out += [x.alias(f"{k.lower()}_{n}") for x, n in zip(parts, ("id", "range", "doppler", "valid"))]
+    return o.select("seq", *out)
+
+
+@query("SELECT seq, CASE WHEN sat_id BETWEEN 1 AND 32 THEN 'GPS' || sat_id END AS as_gps, CASE WHEN sat_id BETWEEN 1 AND 36 THEN 'GAL' || sat_id END AS as_galileo, CASE WHEN sat_id BETWEEN 1 AND 63 THEN 'BDS' || sat_id END AS as_beidou, CASE WHEN sat_id BETWEEN -7 AND 6 THEN 'GLO' || sat_id END AS as_glonass FROM obs")
+def q_satellites(o: DataFrame) -> DataFrame:
+    shown = lambda x: F.when(x.isNotNull(), F.concat(x["constellation"], x["sat_id"]))
+    return o.select("seq", shown(S.gps(s)).alias("as_gps"), shown(S.galileo(s)).alias("as_galileo"), shown(S.beidou(s)).alias("as_beidou"), shown(S.glonass(s)).alias("as_glonass"))
+
+
+#: Frames of 24 rows, whose time is nearly always that of the first row; what an insert after the other does, by earlier rows.
+FRAMED = """, f AS (SELECT seq // 24 AS frame_id, seq, CASE WHEN seq % 13 = 12 THEN 8 ELSE slot END AS slot, timestamp_ms // 3600000 + (CASE WHEN seq % 17 = 16 THEN 1 ELSE 0 END) AS timestamp_ms FROM obs),
+t AS (SELECT *, first_value(timestamp_ms) OVER (PARTITION BY frame_id ORDER BY seq) AS time FROM f),
+ok AS (SELECT frame_id, slot, min(seq) AS seq FROM t WHERE slot <= 6 AND timestamp_ms = time GROUP BY 1, 2),
+e AS (SELECT t.*, CASE WHEN slot > 6 THEN 'InvalidSlot' WHEN timestamp_ms <> time THEN 'TimestampMismatch' WHEN (SELECT count(*) FROM ok WHERE ok.frame_id = t.frame_id AND ok.seq < t.seq) >= 14 THEN 'FrameFull'
+ WHEN EXISTS (SELECT 1 FROM ok WHERE ok.frame_id = t.frame_id AND ok.slot = t.slot AND ok.seq < t.seq) THEN 'DuplicateSlot' END AS error_code FROM t)
+"""
+
+
+def _framed(o: DataFrame) -> DataFrame:
+    odd = o.withColumn("slot", F.when(seq % 13 == 12, 8).otherwise(slot)).withColumn("frame_id", F.floor(seq / 24).cast("long"))
+    return odd.withColumn("timestamp_ms", F.floor(ts / 3_600_000).cast("long") + F.when(seq % 17 == 16, 1).otherwise(0))
+
+
+@query(FRAMED + "SELECT seq, error_code FROM e")
+def q_frame_insert(o: DataFrame) -> DataFrame:
+    return epochs.insert_errors(_framed(o)).select("seq", "error_code")
+
+
+@query(FRAMED + "SELECT frame_id, arg_min(error_code, seq) FILTER (error_code IS NOT NULL) AS error_code, CASE WHEN count(error_code) = 0 THEN count(*) ELSE 0 END AS n, CASE WHEN count(error_code) = 0 THEN string_agg(slot::VARCHAR || ':' || seq::VARCHAR, ',' ORDER BY slot) END AS members FROM e GROUP BY 1")
+def q_frame_from_samples(o: DataFrame) -> DataFrame:
+    return epochs.frames(_framed(o)).select("frame_id", "error_code", F.col("n").cast("long").alias("n"), F.array_join(F.transform("observations", lambda x: F.concat_ws(":", x["slot"], x["seq"])), ",").alias("members"))
+
+
+@query(FRAMED + "SELECT frame_id, arg_min(timestamp_ms, seq) AS timestamp_ms, count(*) FILTER (error_code IS NULL) AS n, min(slot) FILTER (error_code IS NULL) AS min_slot, max(slot) FILTER (error_code IS NULL) AS max_slot, CASE WHEN count(*) FILTER (error_code IS NULL) = 0 THEN 'EmptyChunk' END AS error_code FROM e GROUP BY 1")
+def q_frame_to_epoch(o: DataFrame) -> DataFrame:
+    """The rows that could be inserted, as a frame, as an epoch, and as a frame again."""
+    f = epochs.frames(_framed(o), partial=True).drop("error_code")
+    back = epochs.to_frames(epochs.to_epochs(f)).drop("frame_id")
+    ids = f.select("frame_id", F.xxhash64("timestamp_ms", "observations").alias("of"))
+    return ids.join(back.withColumn("of", F.xxhash64("timestamp_ms", "observations")), "of").select("frame_id", "timestamp_ms", F.col("n").cast("long").alias("n"), "min_slot", "max_slot", "error_code").dropDuplicates(["frame_id"])
 
 
 @query("SELECT chunk_id, count(*) AS n FROM obs GROUP BY 1")
@@ -350,13 +485,26 @@ def q_epoch_encode(o: DataFrame) -> DataFrame:
     return d.join(h.select(F.col("timestamp_ms").alias("chunk_id"), "slot", F.col("seq").alias("of")), ["chunk_id", "slot"])
 
 
-def q_frame_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.removeprefix('file://').rstrip('/')}/log-{framed.uuid.uuid4().hex}"
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors can write."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_log(spark: SparkSession, sf_dir: str) -> str:
+    path = _scratch(spark, "log")
     spark.dataSource.register(framed.FramedLog)
-    chunks.encode_chunks(o).select("payload").write.format("framed").mode("append").option("path", path).save()
-    frames = framed.read_frames(spark, path)
+    chunks.encode_chunks(observations(spark, sf_dir)).select("payload").write.format("framed").mode("append").option("path", path).save()
+    return path
+
+
+def q_frame_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written_log(spark, sf_dir)
+    frames = spark.read.format("framed").option("path", path).load()
     rows = chunks.decode_chunks(frames.select(F.col("frame_no").alias("chunk_id"), "payload"))
     return rows.select("timestamp_ms", "slot", "cn0_dbhz", "pseudorange_mm", "doppler_millihz", "carrier_phase_cycles")
 
@@ -365,6 +513,40 @@ QUERIES["q_frame_log"] = q_frame_log
 ORACLES["q_frame_log"] = f"WITH {SQL} SELECT timestamp_ms, slot, cn0_dbhz, pseudorange_mm, doppler_millihz, carrier_phase_cycles FROM obs"
 
 
+def q_log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writers counted, and what a reader finds."""
+    path = _written_log(spark, sf_dir)
+    counted = framed.counters(spark, path).agg(F.sum("chunks_written").alias("chunks_written"), F.sum("bytes_written").alias("bytes_written"))
+    found = framed.read_frames(spark, path).agg(F.count(F.lit(1)).alias("frames"), F.sum(F.col("payload_len") + 4).alias("bytes_read"))
+    return counted.crossJoin(found)  # one row each
+
+
+QUERIES["q_log_counters"] = q_log_counters
+ORACLES["q_log_counters"] = f"WITH {SQL} {SIZES} SELECT count(*) AS chunks_written, CAST(sum(chunk_bytes + 4) AS BIGINT) AS bytes_written, count(*) AS frames, CAST(sum(chunk_bytes + 4) AS BIGINT) AS bytes_read FROM sizes"
+
+
+def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, encoded by track with what is left at the end of each batch, decoded again."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the only one for this kind of state
+    try:
+        path = _scratch(spark, "stream")
+        out = stream_chunks(event_stream(spark, sf_dir), max_rows=100, rest="batch").writeStream.format("parquet")
+        out.option("path", f"{path}/chunks").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    written = spark.read.parquet(f"{path}/chunks")
+    # a chunk of a track is known by both numbers, here as one
+    rows = chunks.decode_chunks(written.select((F.col("track_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_id"), "payload"), mode="FAILFAST")
+    return rows.select(F.floor(F.col("chunk_id") / 1_000_000).alias("track_id"), "timestamp_ms", "slot", "cn0_dbhz", "pseudorange_mm", "doppler_millihz", "carrier_phase_cycles")
+
+
+QUERIES["q_stream"] = q_stream
+ORACLES["q_stream"] = f"WITH {SQL} SELECT track_id, timestamp_ms, slot, cn0_dbhz, pseudorange_mm, doppler_millihz, carrier_phase_cycles FROM obs"
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Chunk sizes and compression ratios of the smallest table."""
     return buckets.chunk_sizes(observations(spark, "/root/testdata/sf0.001"))

@@ -46,6 +46,10 @@ ERRORS = (
 ).split()
 
 
+# An extension: a null where the data model has a number.
+NULL_VALUE = "NullValue"
+
+
 class CodecError(ValueError):
     """An error of the data model, known by its variant's name and value."""
 
