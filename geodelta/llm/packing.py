@@ -81,8 +81,8 @@ def cut_points(n: int, cap: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, cap) for at in range(first, n, cap))]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = True, added: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and ids (binary, unsigned 32-bit) if asked for; ``added``: texts may hold added tokens."""
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = True, added: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and ids (binary, unsigned 32-bit) if asked for; ``added``: the added token's string is one id, as the tokenizers library gives it."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def pack_pieces(cut_docs: DataFrame, cap: int = CAPACITY, nodes: int = bins.NODE
     )
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, cap: int = CAPACITY, with_ids: bool = False, added: bool = True) -> DataFrame:
     """Pack all documents into sequences of at most ``cap`` tokens; a row for each piece."""
     return pack_pieces(cut(pieces(docs, ranks_path, pattern, cap, with_ids, added), "pieces"), cap)
 

@@ -80,7 +80,6 @@ def hugging(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -111,6 +110,33 @@ def test_packing(spark):
     assert len(seqs) == len(by) and all(len(s["ids"]) == 4 * s["n_tokens"] for s in seqs)
 
 
+@pytest.mark.parametrize("text", [" " * 30_000, "\n" * 30_000 + "a", "b" + " \n\t" * 10_000 + " c", "x" + " " * 20_000 + "<|endoftext|>" + "\n" * 15_000 + "<|endoftext|>y", "a\u3000" + "\u3000" * 12_000 + "z", "a" + "\x1c" * 12_000 + " b", "é" + "\x85\xa0 " * 5_000 + "\n\nq"])
+def test_long_runs_of_white_space(text):
+    coder = packing.encoder(RANKS, public_tokenizers.PATTERN)
+    assert [*packing.token_ids(coder, text, True), 2] == hugging([text])[0]
+
+
+def test_ten_million_spaces():
+    coder = packing.encoder(RANKS, public_tokenizers.PATTERN)
+    for text in (" " * 10_000_000, "\n" * 10_000_000):
+        table = coder._mergeable_ranks
+        back = {v: k for k, v in table.items()}
+        assert b"".join(back[i] for i in packing.token_ids(coder, text, True)) == text.encode()
+
+
+def test_blocks_of_one_length(spark, monkeypatch):
+    """Ranks over many blocks and parts of blocks; repeated rows; a bound that holds."""
+    monkeypatch.setattr(packing, "BLOCK", 5)
+    monkeypatch.setattr(packing, "BLOCKS", 3)
+    docs = spark.createDataFrame([(i % 300, "same words here") for i in range(400)] + [(i, "other") for i in range(30)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN).collect()
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    used = len({s for s, _, _ in places})
+    for (s, o, n), (t, p, _) in itertools.pairwise(places):
+        assert (t == s and p == o + n) or (t > s and p == 0)
+    assert len(rows) == 430 and {r["least_sequences"] for r in rows} <= {used, used - 1}
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(empty_docs(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
