@@ -1,4 +1,14 @@
-"""A corpus pipeline of five stages over ``documents``: toxicity, exact dedup, near-duplicates, personal data, packing."""
+"""A corpus pipeline of five stages over ``documents``: toxicity, exact dedup, near-duplicates, personal data, packing.
+
+Each stage is written as Parquet in the shared folder and read again; all but the last give the columns of documents. The last gives the pieces with
+their token ids, sequence and offset.
+
+Defined cases: a null or empty text is never toxic by its words (it gets the base rate), equals all other empty texts in exact dedup, is linked with
+nothing as a near copy, has no personal data and is one piece of the end token. Rows without doc_id lose ties in exact dedup, take no part in
+near-duplicates and stay there; rows that share an id but not their text are documents of their own in every stage, and of fully repeated rows one
+stays. An empty table gives an empty result. Extra columns of any name are carried through all stages but the last. ``labels`` of unknown documents
+are not used; without labels nothing is called toxic.
+"""
 
 from __future__ import annotations
 
@@ -35,11 +45,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts packed into sequences of at most 1024 tokens."""
+    """All texts packed into sequences of at most 1024 tokens, with the ids of each piece (binary, unsigned little-endian 32-bit)."""
     import public_tokenizers
 
     bound_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=True)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, added=True)
 
 
 STAGES = [
