@@ -22,7 +22,7 @@ DECODED = (
 
 
 #: Rows that are encoded at a time, about, and bytes of payloads that are decoded at a time.
-BATCH_ROWS, DECODE_BYTES = 1 << 16, 1 << 18
+BATCH_ROWS, DECODE_BYTES = 1 << 16, 1 << 21
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = BATCH_ROWS) -> Iterator[pa.Table]:
