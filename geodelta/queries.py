@@ -17,7 +17,7 @@ from .plans import buckets
 from .plans.obs import SQL, event_stream, observations
 from .schema import CARRIERS, SYSTEMS
 from .sources import framed
-from .streaming.encoder import stream_chunks
+from .streaming.encoder import OUTPUT, stream_chunks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -349,6 +349,87 @@ def q_decode_permissive(o: DataFrame) -> DataFrame:
     return d.groupBy("chunk_id").agg(F.max(F.regexp_extract("error_code", "^[A-Za-z]+", 0)).alias("error_code"))
 
 
+@query("SELECT chunk_id, arg_min(e, seq) AS error_code, count(*) AS sample_count FROM (SELECT *, CASE WHEN seq % 1999 = 1500 THEN 'InvalidSlot(9)' WHEN seq % 701 = 3 THEN 'InvalidDbHz(61)' END AS e FROM obs) GROUP BY 1")
+def q_encode_errors(o: DataFrame) -> DataFrame:
+    """A chunk with a row that the types do not allow has its first error and no payload."""
+    bad = o.withColumn("slot", F.when(seq % 1999 == 1500, 9).otherwise(slot)).withColumn("cn0_dbhz", F.when(seq % 701 == 3, 61).otherwise(F.col("cn0_dbhz")))
+    return chunks.encode_chunks(bad).filter("(payload is null) = (error_code is not null)").select("chunk_id", "error_code", "sample_count")
+
+
+@query("SELECT chunk_id, CASE WHEN chunk_id % 2 = 1 THEN 'NullValue' END AS error_code FROM obs GROUP BY 1")
+def q_encode_nulls(o: DataFrame) -> DataFrame:
+    bad = o.withColumn("pseudorange_mm", F.when((F.col("chunk_id") % 2 == 1) & (seq % 100 == 7), F.lit(None)).otherwise(mm))
+    return chunks.encode_chunks(bad).select("chunk_id", "error_code")
+
+
+@query("SELECT * FROM (VALUES ('GLO', 'InvalidPseudorange'), ('GPS', 'InvalidPrn'), ('GAL', 'InvalidSvn'), ('BDS', 'InvalidPrn')) t(constellation, error_code)", raw=True)
+def q_zeroed(o: DataFrame) -> DataFrame:
+    """The all-zero placeholder is valid in no system."""
+    systems = o.sparkSession.createDataFrame([(k,) for k in SYSTEMS], "constellation string")
+    zero = systems.select("constellation", S.zeroed().alias("z")).select("constellation", "z.*")
+    return V.validate(zero, V.observation_error()).select("constellation", "error_code")
+
+
+@query("SELECT seq, v, lpad(bin(CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END), 9, '0') AS bits, v AS back FROM (SELECT seq, seq % 401 - 200 AS v FROM obs)")
+def q_signed_bits(o: DataFrame) -> DataFrame:
+    v = seq % 401 - 200
+    bits_ = B.bit_string(B.zigzag(v), 9)
+    return o.select("seq", v.alias("v"), bits_.alias("bits"), B.unzigzag(F.conv(bits_, 2, 10)).alias("back"))
+
+
+@query("SELECT * FROM (VALUES ('empty chunk', 'EmptyChunk'), ('empty stream', 'EmptyChunk'), ('65 bits', 'InvalidBitCount(65)'), ('4 in two bits', 'ValueTooLarge(4)'), ('small buffer', 'BufferFull'), ('full stream', 'BufferFull'), ('read past the end', 'UnexpectedEof'), ('65 bits read', 'InvalidBitCount(65)'), ('slot 7', 'InvalidSlot(7)'), ('other magic', 'InvalidMagic(1196180808)'), ('version 9', 'InvalidVersion(9)'), ('phase flag 2', 'InvalidPhaseFlag(2)'), ('slot index 15', 'InvalidSlotIndex(15)'), ('first flag', 'InvalidBitPattern'), ('unknown satellite', 'InvalidSatellite'), ('large frame', 'ValueTooLarge(67108865)')) t(of, error)", raw=True)
+def q_errors(o: DataFrame) -> DataFrame:
+    """Errors of the plain codec, each from the call that raises it."""
+    from . import codec, doppler_codec
+    from .schema import MAX_FRAME_PAYLOAD, CodecError
+
+    row = (1, 1, 40, 21_500_000_000, 1_000, None)
+
+    def full_stream() -> None:
+        e = codec.StreamEncoder(40)
+        for k in range(50):
+            e.push((1 + k * 977, *row[1:]))
+
+    def bad_index() -> None:
+        w = codec.BitWriter()
+        for value, n in ((0, 1), (1, 1), (15, 4), (0, 60)):
+            w.write(value, n)
+        codec.decode(codec.header(2) + codec.verbatim(row) + w.getvalue())
+
+    def first_flag() -> None:
+        doppler_codec.Registry().decode(codec.BitReader(b"\xff" * 8), ("GPS", 1))
+
+    def raised(call) -> str | None:
+        try:
+            call()
+        except CodecError as e:
+            return str(e)
+        return None
+
+    one = codec.encode([row])
+    cases = {
+        "empty chunk": lambda: codec.encode([]),
+        "empty stream": lambda: codec.StreamEncoder(99).flush(),
+        "65 bits": lambda: codec.BitWriter().write(0, 65),
+        "4 in two bits": lambda: codec.BitWriter().write(4, 2),
+        "small buffer": lambda: codec.StreamEncoder(31).push(row),
+        "full stream": full_stream,
+        "read past the end": lambda: codec.BitReader(b"a").read(9),
+        "65 bits read": lambda: codec.BitReader(bytes(20)).read(65),
+        "slot 7": lambda: codec.encode([(1, 7, *row[2:])]),
+        "other magic": lambda: codec.decode(b"HELG" + one[4:]),
+        "version 9": lambda: codec.decode(one[:4] + b"\x09" + one[5:]),
+        "phase flag 2": lambda: codec.decode(one[:31] + b"\x02" + one[32:]),
+        "slot index 15": bad_index,
+        "first flag": first_flag,
+        "large frame": lambda: framed.read_framed((MAX_FRAME_PAYLOAD + 1).to_bytes(4, "little") + bytes(9)),
+    }
+    rows = [(name, raised(call)) for name, call in cases.items()]
+    unknown = o.limit(1).withColumn("sat_id", F.lit(99))
+    rows.append(("unknown satellite", doppler.encode_doppler(unknown).first()["error_code"]))
+    return o.sparkSession.createDataFrame(rows, "of string, error string")
+
+
 @query("SELECT chunk_id, CASE WHEN count(*) > 300 THEN 'BufferFull' END AS error_code FROM obs GROUP BY 1")
 def q_decode_guard(o: DataFrame) -> DataFrame:
     return chunks.decode_chunks(chunks.encode_chunks(o), max_samples=300).groupBy("chunk_id").agg(F.max("error_code").alias("error_code"))
@@ -525,8 +606,8 @@ QUERIES["q_log_counters"] = q_log_counters
 ORACLES["q_log_counters"] = f"WITH {SQL} {SIZES} SELECT count(*) AS chunks_written, CAST(sum(chunk_bytes + 4) AS BIGINT) AS bytes_written, count(*) AS frames, CAST(sum(chunk_bytes + 4) AS BIGINT) AS bytes_read FROM sizes"
 
 
-def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, encoded by track with what is left at the end of each batch, decoded again."""
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the events as a stream, by track, with what is left at the end of each batch."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
@@ -537,7 +618,12 @@ def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.option("path", f"{path}/chunks").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    written = spark.read.parquet(f"{path}/chunks")
+    return spark.read.schema(OUTPUT).parquet(f"{path}/chunks")
+
+
+def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows again from the stream's chunks."""
+    written = _streamed(spark, sf_dir)
     # a chunk of a track is known by both numbers, here as one
     rows = chunks.decode_chunks(written.select((F.col("track_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_id"), "payload"), mode="FAILFAST")
     return rows.select(F.floor(F.col("chunk_id") / 1_000_000).alias("track_id"), "timestamp_ms", "slot", "cn0_dbhz", "pseudorange_mm", "doppler_millihz", "carrier_phase_cycles")
@@ -547,6 +633,14 @@ QUERIES["q_stream"] = q_stream
 ORACLES["q_stream"] = f"WITH {SQL} SELECT track_id, timestamp_ms, slot, cn0_dbhz, pseudorange_mm, doppler_millihz, carrier_phase_cycles FROM obs"
 
 
+def q_stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir).select("track_id", "chunk_no", "sample_count")
+
+
+QUERIES["q_stream_chunks"] = q_stream_chunks
+ORACLES["q_stream_chunks"] = f"WITH {SQL} SELECT track_id, (n - 1) // 100 AS chunk_no, count(*) AS sample_count FROM (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS n FROM obs) GROUP BY 1, 2"
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Chunk sizes and compression ratios of the smallest table."""
     return buckets.chunk_sizes(observations(spark, "/root/testdata/sf0.001"))
