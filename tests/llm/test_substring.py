@@ -45,6 +45,9 @@ def test_against_brute_force(spark):
     rng = random.Random(3)
     passages = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 30)) for _ in range(n)) for n in (34, 35, 36, 50, 80, 120)]
     rows = [(-1, None), (-2, ""), (-3, " \n"), (-4, "word " * 200), (-5, passages[3]), (-6, passages[3]), (-7, passages[5]), (-7, passages[5]), (None, passages[4]), (None, "x " + passages[2])]
+    # ids of several texts, one of which repeats another's passage; and texts that keep all words
+    rows += [(-9, "own " + passages[4] + " end"), (-9, " ".join(f"n{i}" for i in range(70))), (-9, passages[5] + " tail"), (-9, "own " + passages[4] + " end"), (3, passages[1]), (4, "")]
+    rows += [(-10, "  lead\tand \x0b trail \n"), (-11, "\x1c a\u00a0b\u3000c"), (None, None), (None, " ".join(f"m{i}" for i in range(90)))]
     for i in range(120):
         parts = []
         for _ in range(rng.randint(1, 5)):
