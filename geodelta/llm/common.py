@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A side is broadcast only when its rows were counted and fit in this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -129,6 +130,23 @@ def salted_join(rows: DataFrame, single: DataFrame, key: str, salt_by: str, coun
     return dealt.join(each, [key, "salt"]).drop("salt")
 
 
+def sum_before(counts: DataFrame, group: list[str], at: str, value: str, part: int = 1000) -> DataFrame:
+    """Written counts with ``before``: the sum of value over the group's rows with a smaller ``at`` (whole numbers, each once).
+
+    In two steps, within parts of ``part`` numbers and over the parts, so a task holds a part, or one row for each part of a group."""
+
+    def running(column: str, order: str, *by: str) -> Column:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(w), F.lit(0))
+
+    parted = counts.withColumn("_part", F.expr(f"{at} div {part}"))
+    parts = parted.groupBy(*group, "_part").agg(F.sum(value).alias("_held"))
+    parts = parts.withColumn("_parts_before", running("_held", "_part", *group)).drop("_held")
+    inside = parted.withColumn("_inside", running(value, at, *group, "_part"))
+    whole = inside.join(parts, [*group, "_part"]).withColumn("before", F.col("_inside") + F.col("_parts_before"))
+    return whole.drop("_part", "_inside", "_parts_before")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most`` bytes of text (one row at least)."""
     import numpy as np

@@ -413,7 +413,7 @@ def _print_columns(shingle: int, names: list[str], text: str):
 def with_nodes(docs: DataFrame, several: DataFrame | None, name: str, shingle: int) -> DataFrame:
     """docs with their node: the doc_id, or for ids of ``several`` sets a hash of id and print."""
     if several is None:
-        return docs.withColumn(name, F.col("doc_id"))
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
     maybe, rest = split_by_keys(docs, several, "doc_id")
     ids = several.select(F.col("doc_id").alias("several_id")).hint("merge")
     same = maybe["doc_id"] == ids["several_id"]
@@ -421,7 +421,7 @@ def with_nodes(docs: DataFrame, several: DataFrame | None, name: str, shingle: i
     schema = T.StructType([*docs.schema.fields, T.StructField(a, T.LongType()), T.StructField(b, T.LongType())])
     marked = maybe.join(ids, same, "left_semi").mapInArrow(_print_columns(shingle, schema.names, "text"), schema)
     marked = marked.withColumn(name, node_hash(a, b)).drop(a, b)
-    return marked.unionByName(maybe.join(ids, same, "left_anti").unionByName(rest).withColumn(name, F.col("doc_id")))
+    return marked.unionByName(maybe.join(ids, same, "left_anti").unionByName(rest).withColumn(name, F.col("doc_id").cast("long")))
 
 
 def node_hash(a: str, b: str) -> Column:
@@ -432,7 +432,7 @@ def linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Data
     """Per row (doc_id, node, n, class_id, component_id, keep_node), rows that take no part, and the ids of several sets.
 
     keep_node is the node of the component's least doc_id."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, n long, print_a long, print_b long, chunk int, counts binary"
     census = cut(text.mapInArrow(_census(shingle), schema), "census")
     sized = census.filter("chunk is null").drop("chunk", "counts")

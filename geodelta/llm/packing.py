@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bins
-from .common import blank, cut, text_slices
+from .common import blank, cut, sum_before, text_slices
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in a block of one length, about; and blocks whose counts are added up together.
-BLOCK, BLOCKS = 1000, 1000
+#: Pieces in a block of one length, about.
+BLOCK = 1000
 
 #: The vocabulary's added token; tokenizers gives it one id wherever it stands in a text.
 ADDED = {"<|endoftext|>": 50256}
@@ -128,15 +128,8 @@ def pack_pieces(cut_docs: DataFrame, cap: int = CAPACITY, nodes: int = bins.NODE
     # a length's pieces fall into blocks of about BLOCK, so neither a common length nor the whole table is one group
     block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks"))
     blocked = cut_docs.join(F.broadcast(plan.select("size", "blocks")), F.col("length") == F.col("size")).withColumn("block", block)
-    sizes = cut(blocked.groupBy("length", "block").count().withColumn("part", F.expr(f"block div {BLOCKS}")), "blocks")
-    # ranks before a block, in two steps: the blocks of its part, and the parts before
-    running = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sizes.groupBy("length", "part").agg(F.sum("count").alias("held")).withColumn("parts_before", running("held", "length", "part"))
-    before = (
-        sizes.withColumn("in_part", running("count", "length", "part", "block"))
-        .join(parts, ["length", "part"])
-        .select("length", "block", (F.col("in_part") + F.col("parts_before")).alias("before"))
-    )
+    sizes = cut(blocked.groupBy("length", "block").count(), "blocks")
+    before = sum_before(sizes, ["length"], "block", "count").select("length", "block", "before")
     ranked = blocked.withColumn(
         "row", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32"))
     )

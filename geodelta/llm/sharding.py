@@ -19,9 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, blank, cut
+from .common import BROADCAST_BYTES, blank, cut, sum_before
 
 SHARDS = 24
 #: Bytes and rows of a bucket that a task can hold as records.
@@ -50,9 +49,8 @@ def two_pass_shuffle(
     by_place = lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)
     shuffled = held.select("bucket", F.array_sort("held", by_place).alias("held")).select("bucket", F.expr(f"shuffle(held, {seed}L)").alias("held"))
     written = cut(shuffled.select("bucket", F.posexplode("held").alias("at", "e")).select("bucket", "at", "e.record"), "buckets")
-    counts = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    run = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # one row a bucket
-    starts = cut(counts.withColumn("start", run).select("bucket", F.coalesce("start", F.lit(0)).alias("start")), "starts")
+    counts = cut(written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
+    starts = cut(sum_before(counts, [], "bucket", "n").select("bucket", F.col("before").alias("start")), "starts")
     starts = F.broadcast(starts) if buckets * 16 <= BROADCAST_BYTES else starts.hint("merge")
     base, more = divmod(total, shards)
     edge = more * (base + 1)

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from geodelta.llm import bins, packing
+from geodelta.llm import bins, common, packing
 
 from .util import empty_docs, odd_docs
 
@@ -127,7 +127,6 @@ def test_ten_million_spaces():
 def test_blocks_of_one_length(spark, monkeypatch):
     """Ranks over many blocks and parts of blocks; repeated rows; a bound that holds."""
     monkeypatch.setattr(packing, "BLOCK", 5)
-    monkeypatch.setattr(packing, "BLOCKS", 3)
     docs = spark.createDataFrame([(i % 300, "same words here") for i in range(400)] + [(i, "other") for i in range(30)], "doc_id long, text string")
     rows = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN).collect()
     places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
@@ -137,6 +136,14 @@ def test_blocks_of_one_length(spark, monkeypatch):
     assert len(rows) == 430 and {r["least_sequences"] for r in rows} <= {used, used - 1}
 
 
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_sum_before(spark, group):
+    rng = random.Random(3)
+    rows = [(g, k, rng.randint(1, 9)) for g in range(3 if group else 1) for k in rng.sample(range(100), 40)]
+    got = common.sum_before(spark.createDataFrame(rows, "g int, k int, n long"), group, "k", "n", 7).collect()
+    assert sorted((r["g"], r["k"], r["before"]) for r in got) == sorted((g, k, sum(n for h, j, n in rows if h == g and j < k)) for g, k, _ in rows)
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(empty_docs(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
