@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: A side is broadcast only when its rows were counted and fit in this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a row group of scratch tables, which a task holds while it writes.
+ROW_GROUP = 32 << 20
 #: A key is heavy when it holds more than 1/HEAVY of all rows; at most HEAVY keys can be.
 HEAVY = 4096
 #: A key of up to so many rows is never heavy.
@@ -38,7 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def write_scratch(df: DataFrame, tag: str) -> str:
     """Write df once as a Parquet table in the shared folder; give its path."""
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return path
 
 
@@ -180,9 +182,10 @@ def blank(text: str | Column) -> Column:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches to and from Python hold about 4 MB, however long the texts are."""
+    """Batches hold little, however long the texts are: to and from Python about 2 MB, from Parquet some hundred rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -141,15 +141,14 @@ def _common(counts: DataFrame, bound: int) -> np.ndarray:
     """How common the shingles of each counter are: 0 up to the bound, then one more a doubling. 1 MB, whatever the input."""
     schema = "chunk int, counts binary"
     salted = counts.repartition(F.col("chunk"), F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_add_chunks, schema)
-    whole = salted.repartition("chunk").mapInArrow(_add_chunks, schema)
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _add_chunks(batches):  # in one function, as a second one would need a worker of its own
             level = [np.ceil(np.log2(np.maximum(np.frombuffer(c.as_buffer(), "<u8") / bound, 1))).astype(np.uint8).tobytes() for c in batch.column("counts")]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(level, pa.binary())], ["chunk", "counts"])
 
     out = np.zeros(((1 << COUNTER_BITS) // CHUNK, CHUNK), np.uint8)
-    for row in whole.mapInArrow(levels, schema).collect():  # 64 rows of 16 KB
+    for row in salted.repartition("chunk").mapInArrow(levels, schema).collect():  # 64 rows of 16 KB
         out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 
@@ -412,20 +411,21 @@ def _print_columns(shingle: int, names: list[str], text: str):
 
 def with_nodes(docs: DataFrame, several: DataFrame | None, name: str, shingle: int) -> DataFrame:
     """docs with their node: the doc_id, or for ids of ``several`` sets a hash of id and print."""
+    docs = docs.withColumn(name, F.col("doc_id").cast("long"))
     if several is None:
-        return docs.withColumn(name, F.col("doc_id").cast("long"))
-    maybe, rest = split_by_keys(docs, several, "doc_id")
+        return docs
+    maybe, rest = split_by_keys(docs, several.select(F.col("doc_id").alias(name)), name)
     ids = several.select(F.col("doc_id").alias("several_id")).hint("merge")
-    same = maybe["doc_id"] == ids["several_id"]
+    same = maybe[name] == ids["several_id"]
     a, b = free_name(docs, "print_a"), free_name(docs, "print_b")
     schema = T.StructType([*docs.schema.fields, T.StructField(a, T.LongType()), T.StructField(b, T.LongType())])
     marked = maybe.join(ids, same, "left_semi").mapInArrow(_print_columns(shingle, schema.names, "text"), schema)
-    marked = marked.withColumn(name, node_hash(a, b)).drop(a, b)
-    return marked.unionByName(maybe.join(ids, same, "left_anti").unionByName(rest).withColumn(name, F.col("doc_id").cast("long")))
+    marked = marked.withColumn(name, node_hash(name, a, b)).drop(a, b)
+    return marked.unionByName(maybe.join(ids, same, "left_anti")).unionByName(rest)
 
 
-def node_hash(a: str, b: str) -> Column:
-    return F.xxhash64("doc_id", a, b, F.lit(29))
+def node_hash(doc: str, a: str, b: str) -> Column:
+    return F.xxhash64(doc, a, b, F.lit(29))
 
 
 def linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -446,7 +446,7 @@ def linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Data
     else:
         maybe, rest = split_by_keys(sized, several, "doc_id")
         found = maybe.join(several.withColumn("many", F.lit(True)).hint("merge"), "doc_id", "left")
-        node = F.when(F.col("many"), node_hash("print_a", "print_b")).otherwise(F.col("doc_id"))
+        node = F.when(F.col("many"), node_hash("doc_id", "print_a", "print_b")).otherwise(F.col("doc_id"))
         noded = found.withColumn("node", node).drop("many").unionByName(rest.withColumn("node", F.col("doc_id")))
     real = noded.filter("n > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "node"))

@@ -83,7 +83,7 @@ def test_shared_ids(spark):
 
 def test_keep_one(spark):
     rows = shared_id_rows()
-    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, print_a string").repartition(3)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id int, text string, node int, print_a string").repartition(3)
     kept = keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
     left = [(r["doc_id"], r["text"]) for r in kept.collect()]
