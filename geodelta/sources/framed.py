@@ -84,7 +84,9 @@ class Written(WriterCommitMessage):
 
 def store(path: str) -> tuple[afs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
-    return afs.FileSystem.from_uri(path) if "://" in path else afs.FileSystem.from_uri(f"file://{path}")
+    if "://" in path:
+        return afs.FileSystem.from_uri(path)
+    return afs.LocalFileSystem(), path.removeprefix("file:")
 
 
 def _files(fs: afs.FileSystem, folder: str, ends: str) -> list[str]:
