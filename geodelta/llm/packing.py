@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bins
-from .common import blank, cut, sum_before, text_slices
+from .common import blank, cut, give_back_memory, sum_before, text_slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -123,6 +123,7 @@ def pack_pieces(cut_docs: DataFrame, cap: int = CAPACITY, nodes: int = bins.NODE
     spark = cut_docs.sparkSession
     counts = {int(r[0]): int(r[1]) for r in cut_docs.groupBy("length").count().collect()}  # at most cap rows
     runs = runs_of(bins.pack(counts, cap, nodes))
+    give_back_memory()  # the search's, on the driver
     rows = [(s, -(-counts[s] // BLOCK), [list(run) for run in all_runs]) for s, all_runs in runs.items()]
     plan = spark.createDataFrame(rows, "size long, blocks long, runs array<struct<low:long,high:long,times:long,bin:long,at:long>>")
     # a length's pieces fall into blocks of about BLOCK, so neither a common length nor the whole table is one group

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import blank, text_slices
+from .common import blank, give_back_memory, text_slices
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE, FOLDS, CHI2, WORDS, ALIKE, RIDGE = 8000, 5, 20.0, 200, 0.5, 0.2
@@ -185,7 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear
     got = got.take(np.sort(np.array(first, np.int64)))  # equal sets count once
     sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in got["codes"]]
     y = np.stack([1.0 - got["quality"].to_numpy(), got["toxic"].to_numpy().astype(float)], axis=1)
-    return fit_chain(sets, y)
+    chain = fit_chain(sets, y)
+    del got, sets
+    give_back_memory()  # the driver's as well
+    return chain
 
 
 def _with_probabilities(chain: list[Linear], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
